@@ -62,15 +62,17 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
     return df.agg(rows.alias("rows"), F.greatest(F.lit(1), F.ceil(rows / F.lit(size))).cast("bigint").alias("pages"))
 
 
-def page(df: DataFrame, number: int, size: int, keys: Sequence[str] | None = None) -> DataFrame:
+def page(
+    df: DataFrame, number: int, size: int, keys: Sequence[str] | None = None, heap_rows: int = HEAP_ROWS
+) -> DataFrame:
     """One page in key order; ``keys`` must order the rows totally.
 
-    Early pages come from per-task heaps of ``number * size`` rows.  A page further on
+    Early pages, up to ``heap_rows``, come from small per-task heaps.  A page further on
     is cut out of a range-sorted copy by position, so no task holds the rows before it.
     """
     order = list(keys or sort_keys(df))
     skip = (number - 1) * size
-    if skip + size <= HEAP_ROWS:
+    if skip + size <= heap_rows:
         return df.orderBy(*order).offset(skip).limit(size)
     return _deep_page(df, order, skip, size)
 
