@@ -21,7 +21,7 @@ from tidepanel.operators import joins, records, select
 from tidepanel.operators import timeline as tl
 from tidepanel.session import pin_utc, scratch_path
 from tidepanel.sinks.export import export
-from tidepanel.sources.scans import product_of_file, read_manifest, read_product, route
+from tidepanel.sources.scans import product_of_file, read_manifest, read_product
 from tidepanel.sources.synthetic import generate_products
 from tidepanel.specs import DAY, PANEL_KEY, RAW_KEY, SITE, SNAPSHOT, VINTAGE
 from tidepanel.streaming.ingest import PanelStore, shard_stream, stream_into
@@ -455,23 +455,28 @@ def export_roundtrip(spark, sf_dir):
 
 @registered
 def snapshot_scan(spark, sf_dir):
-    """Shards written per product, one kind without the wind column, read back three ways."""
+    """Shards written per product, some without the wind column, read back three ways."""
     root = scratch_path(spark, "snapshot")
     raw = a.weather_raw(spark, sf_dir).drop("product").withColumn("year", F.year(DAY))
+    # The record key balances the files even if one site-day owns most of the rows.
+    raw = raw.repartitionByRange(DAY, SITE, "record_key")
     early, late = raw.where("model = 'era5'"), raw.where("model <> 'era5'")
     early.write.partitionBy("year").parquet(f"{root}/data/weather_reanalysis/first")
     late.drop("wind_speed_10m_max").write.partitionBy("year").parquet(f"{root}/data/weather_reanalysis/second")
     late.write.partitionBy("year").parquet(f"{root}/data/weather_recent")
-    scanned = [read_product(spark, root, name) for name in ("weather_reanalysis", "weather_recent")]
-    listed = ["data/weather_reanalysis/first/x.parquet", "data/weather_recent/y.parquet", "metadata/sites.csv"]
-    folders = {name: [path.rsplit("/", 1)[0] for path in group] for name, group in route(listed).items()}
-    manifest = {name: spark.read.option("recursiveFileLookup", "true").parquet(*[f"{root}/{f}" for f in group]) for name, group in folders.items()}
-    by_file = product_of_file(spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(f"{root}/data"))
+    names = ("weather_reanalysis", "weather_recent")
+    whole = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(f"{root}/data")
+    listed = [path[path.index("/data/") + 1 :] for path in whole.inputFiles()]
+    readers = {
+        "scan": {name: read_product(spark, root, name) for name in names},
+        "manifest": read_manifest(spark, [path for path in listed if "/second/" not in path], root),
+    }
     parts = [
-        *[df.select(F.lit("scan").alias("reader"), F.lit(n).alias("product"), "wind_speed_10m_max", DAY) for n, df in zip(("weather_reanalysis", "weather_recent"), scanned)],
-        *[df.select(F.lit("manifest").alias("reader"), F.lit(n).alias("product"), "wind_speed_10m_max", DAY) for n, df in manifest.items()],
-        by_file.select(F.lit("path").alias("reader"), "product", "wind_speed_10m_max", DAY),
+        df.select(F.lit(reader).alias("reader"), F.lit(name).alias("product"), "wind_speed_10m_max", DAY)
+        for reader, products in readers.items()
+        for name, df in products.items()
     ]
+    parts.append(product_of_file(whole).select(F.lit("path").alias("reader"), "product", "wind_speed_10m_max", DAY))
     return reduce(DataFrame.unionByName, parts).groupBy("reader", "product").agg(
         F.count(F.lit(1)).alias("records"), F.count("wind_speed_10m_max").alias("with_wind"), F.max(DAY).alias("last_day")
     )
@@ -497,32 +502,30 @@ def synthetic_panel(spark, sf_dir):
 # -- streaming --------------------------------------------------------------------------------
 
 
-def _delivered(spark, sf_dir, label: str) -> tuple[DataFrame, str]:
-    """Weather records written as shards of three deliveries and opened as a stream."""
+def _deliver(spark, sf_dir, label: str, **options) -> PanelStore:
+    """Weather records arriving in three deliveries, each taken in by its own stream run."""
     root = scratch_path(spark, label)
-    raw = a.weather_raw(spark, sf_dir).withColumn("delivery", F.col("precipitation_sum").cast("int") % 3)
-    raw.repartition("delivery").write.partitionBy("delivery").parquet(f"{root}/in")
-    schema = raw.drop("delivery").schema
-    return shard_stream(spark, f"{root}/in", schema, files_per_batch=1), f"{root}/store"
+    raw = a.weather_raw(spark, sf_dir)
+    store = PanelStore(f"{root}/store", tie_breakers=a.TIE, **options)
+    for delivery in ("precipitation_sum < 18", "precipitation_sum between 18 and 35", "precipitation_sum > 35"):
+        raw.where(delivery).write.mode("append").parquet(f"{root}/in")
+        shards = shard_stream(spark, f"{root}/in", raw.schema, files_per_batch=10_000)
+        stream_into(shards, store, lambda rows: rows.drop("_file")).awaitTermination()
+    return store
 
 
 @registered
 def stream_equals_batch(spark, sf_dir):
     """Best records kept up to date by a stream of deliveries."""
-    shards, root = _delivered(spark, sf_dir, "stream")
-    store = PanelStore(root, raw_key=(*RAW_KEY, "record_key"), tie_breakers=a.TIE)
-    stream_into(shards, store, lambda rows: rows.drop("_file")).awaitTermination()
+    store = _deliver(spark, sf_dir, "stream", raw_key=(*RAW_KEY, "record_key"))
     columns = [*PANEL_KEY, "product", SNAPSHOT, "complete_core", "precipitation_sum", "wind_speed_10m_max", "record_key"]
     return store.read_best(spark).select(*columns)
 
 
 @registered
 def stream_repeats(spark, sf_dir):
-    """Raw keys delivered again: rows delivered, accepted and refused over all batches."""
-    shards, root = _delivered(spark, sf_dir, "repeats")
-    store = PanelStore(root, tie_breakers=a.TIE)
-    stream_into(shards, store, lambda rows: rows.drop("_file")).awaitTermination()
+    """Raw keys delivered again: rows accepted and refused over all deliveries."""
+    store = _deliver(spark, sf_dir, "repeats")
     refused = store.read_repeats(spark).agg(F.sum(F.col("copies") - F.col("accepted")).alias("refused"))
-    archived = spark.read.parquet(store.raw).agg(F.count(F.lit(1)).alias("accepted"))
-    one = spark.range(1)
-    return one.select(archived.scalar().alias("accepted"), refused.scalar().alias("refused"))
+    accepted = spark.read.parquet(store.raw).agg(F.count(F.lit(1)).alias("accepted"))
+    return spark.range(1).select(accepted.scalar().alias("accepted"), refused.scalar().alias("refused"))
