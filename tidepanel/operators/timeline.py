@@ -80,15 +80,18 @@ def map_status(
     end: DayLike = None,
     wave_limit: float = 2.0,
     wind_limit: float = 10.0,
+    forecast_days: DataFrame | None = None,
 ) -> DataFrame:
     """Every site's status and colour on each day from ``start`` to ``end``.
 
     A day on which any site has a forecast is drawn from forecasts only.  The covered
-    days are at most the days asked for, which bounds the broadcast.
+    days are at most the days asked for, which bounds the broadcast; ``forecast_days``
+    is a cheaper source of them than the joined ``forecasts``.
     """
     window = (start, start if end is None else end)
     ahead = on_keys(forecasts, dates=window)
-    past = without_days(on_keys(history, dates=window), distinct_days(ahead))
+    covered = ahead if forecast_days is None else on_keys(forecast_days, dates=window)
+    past = without_days(on_keys(history, dates=window), distinct_days(covered))
     chosen = latest_vintage(ahead).unionByName(past, allowMissingColumns=True)
     status = chosen.select(*PANEL_KEY, indicator_status(wave_limit, wind_limit).alias("status"))
     keep = [c for c in sites.columns if c != SITE]

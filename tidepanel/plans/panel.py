@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.contracts.validate import typed_product
-from tidepanel.functions.dates import DayLike
+from tidepanel.functions.dates import DayLike, as_day
+from tidepanel.operators.coverage import coverage_by_year
+from tidepanel.operators.explore import explore
 from tidepanel.operators.joins import join_domains
 from tidepanel.operators.select import before, best_records, on_keys
 from tidepanel.operators.timeline import combined_timeline
+from tidepanel.sinks.export import export, export_path, write_panel
 from tidepanel.sources.bundle import Bundle
 from tidepanel.specs import DAY, PRODUCTS
 
@@ -101,3 +104,34 @@ def view(bundle: Bundle, name: str, as_of: DayLike = None, sites: Iterable | Non
             return forecast_panel(bundle, sites, dates)
         return daily_panel(bundle, True, as_of, sites, dates).where(F.lit(False))
     raise ValueError(f"unknown view {name!r}; choose one of {', '.join(VIEWS)}")
+
+
+def explorer(
+    bundle: Bundle,
+    name: str,
+    sites: Iterable,
+    dates: Dates,
+    severity: Iterable[str] | None = None,
+    wave_limit: float = 2.0,
+    wind_limit: float = 10.0,
+    as_of: DayLike = None,
+) -> DataFrame:
+    """A filtered view: keys are cut before selection, statuses judged on the best records."""
+    sites = list(sites)
+    cut = view(bundle, name, as_of, sites, dates) if sites else view(bundle, name, as_of)
+    return explore(cut, sites, dates, severity, wave_limit, wind_limit)
+
+
+def export_view(bundle: Bundle, name: str, folder: str, fmt: str, as_of: DayLike = None, limit: int | None = None) -> str:
+    """A whole view as one export, named by its provenance."""
+    return export(view(bundle, name, as_of), folder, name, fmt, synthetic=bundle.is_demo, limit=limit)
+
+
+def publish(bundle: Bundle, folder: str, as_of: DayLike = None, start: DayLike = "2010-01-01") -> tuple[str, str]:
+    """Reanalysis panel as Parquet and its coverage report as CSV, which reads the written panel."""
+    panel = export_path(folder, "daily_reanalysis", "parquet", bundle.is_demo)
+    write_panel(daily_panel(bundle, as_of=as_of), panel)
+    spark = bundle.sites.sparkSession
+    end = None if as_of is None else F.date_sub(as_day(as_of), 1)
+    report = coverage_by_year(spark.read.parquet(panel), bundle.sites, start, end)
+    return panel, export(report, folder, "coverage", "csv", synthetic=bundle.is_demo)

@@ -49,6 +49,11 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def by_month(df: DataFrame) -> DataFrame:
+    """Months gathered into few files; the adaptive plan splits a month that is too large."""
+    return df.hint("rebalance", F.col(PART))
+
+
 @dataclass(frozen=True)
 class PanelStore:
     """Archive and best-record table of one domain."""
@@ -77,17 +82,18 @@ class PanelStore:
         return spark.read.parquet(self.repeats)
 
     def absorb(self, rows: DataFrame, batch: int) -> None:
-        """Archive one batch of typed rows and refresh the months it touches."""
+        """Archive one batch of typed rows and refresh the months it touches.
+
+        The batch is read once per use with only the columns that use needs, which
+        costs less than caching whole rows.
+        """
         spark = rows.sparkSession
-        rows = rows.withColumn(PART, F.date_format(DAY, "yyyy-MM")).persist()
-        try:
-            # The calendar bounds the months of a batch, whatever its number of rows.
-            months = [r[PART] for r in rows.select(PART).distinct().collect()]
-            if months:
-                self._archive(spark, rows, batch, months)
-                self._refresh(spark, batch, months)
-        finally:
-            rows.unpersist()
+        rows = rows.withColumn(PART, F.date_format(DAY, "yyyy-MM"))
+        # The calendar bounds the months of a batch, whatever its number of rows.
+        months = [r[PART] for r in rows.select(PART).distinct().collect()]
+        if months:
+            self._archive(spark, rows, batch, months)
+            self._refresh(spark, batch, months)
 
     def _archive(self, spark: SparkSession, rows: DataFrame, batch: int, months: list[str]) -> None:
         keys = [*self.raw_key]
@@ -107,7 +113,7 @@ class PanelStore:
         if self.strict and not repeats.isEmpty():
             raise ContractError("stream", "V6", f"batch {batch}")
         repeats.write.mode("overwrite").parquet(f"{self.repeats}/{BATCH}={batch}")
-        accepted.write.mode("overwrite").partitionBy(PART).parquet(f"{self.raw}/{BATCH}={batch}")
+        by_month(accepted).write.mode("overwrite").partitionBy(PART).parquet(f"{self.raw}/{BATCH}={batch}")
 
     def _refresh(self, spark: SparkSession, batch: int, months: list[str]) -> None:
         """Recompute whole touched months from the archive; other months stay as they are."""
@@ -116,8 +122,7 @@ class PanelStore:
             return
         touched = touched.where((F.col(BATCH) <= batch) & F.col(PART).isin(months)).drop(BATCH)
         (
-            best_records(touched, self.tie_breakers)
-            .repartition(PART, F.col("site_id"))
+            by_month(best_records(touched, self.tie_breakers))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(PART)

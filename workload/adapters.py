@@ -133,15 +133,25 @@ def _event_days(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> Dat
     )
 
 
+def event_history_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_days(spark, sf_dir, ("view",)).where(F.col(DAY) < F.lit("2024-01-20").cast("date"))
+
+
 def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = _event_days(spark, sf_dir, ("view",)).where(F.col(DAY) < F.lit("2024-01-20").cast("date"))
-    return days.groupBy(SITE, DAY).agg(
+    return event_history_days(spark, sf_dir).groupBy(SITE, DAY).agg(
         F.max("value").alias("wind_speed_10m_max"), F.min("value").alias("wave_height_max")
     )
 
 
+FORECAST_KINDS = ("click", "signup", "purchase", "error")
+
+
+def event_forecast_days(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = FORECAST_KINDS) -> DataFrame:
+    return _event_days(spark, sf_dir, kinds).where(F.col(DAY) >= F.lit("2024-01-15").cast("date"))
+
+
 def _event_forecast(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], metric: str, domain: str) -> DataFrame:
-    days = _event_days(spark, sf_dir, kinds).where(F.col(DAY) >= F.lit("2024-01-15").cast("date"))
+    days = event_forecast_days(spark, sf_dir, kinds)
     vintage = F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string"))
     return (
         days.groupBy(SITE, DAY, vintage.alias(SNAPSHOT))
@@ -158,11 +168,11 @@ def _event_forecast(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], me
 
 
 def event_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_forecast(spark, sf_dir, ("click", "signup"), "wind_speed_10m_max", "weather")
+    return _event_forecast(spark, sf_dir, FORECAST_KINDS[:2], "wind_speed_10m_max", "weather")
 
 
 def event_marine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_forecast(spark, sf_dir, ("purchase", "error"), "wave_height_max", "marine")
+    return _event_forecast(spark, sf_dir, FORECAST_KINDS[2:], "wave_height_max", "marine")
 
 
 def event_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:

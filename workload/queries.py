@@ -54,16 +54,18 @@ def iso(df: DataFrame) -> DataFrame:
     )
 
 
-def best_weather(spark, sf_dir) -> DataFrame:
-    return select.best_records(a.weather_raw(spark, sf_dir), a.TIE)
+def best_weather(spark, sf_dir, **keys) -> DataFrame:
+    return select.best_records(select.on_keys(a.weather_raw(spark, sf_dir), **keys), a.TIE)
 
 
-def best_marine(spark, sf_dir) -> DataFrame:
-    return select.best_records(a.marine_raw(spark, sf_dir), a.TIE)
+def best_marine(spark, sf_dir, **keys) -> DataFrame:
+    return select.best_records(select.on_keys(a.marine_raw(spark, sf_dir), **keys), a.TIE)
 
 
-def daily(spark, sf_dir, sites: DataFrame | None = None) -> DataFrame:
-    return joins.join_domains(best_weather(spark, sf_dir), best_marine(spark, sf_dir), sites, "driver")
+def daily(spark, sf_dir, registry: DataFrame | None = None, **keys) -> DataFrame:
+    """Daily table; ``sites`` and ``dates`` filter both domains before selection."""
+    domains = [best(spark, sf_dir, **keys) for best in (best_weather, best_marine)]
+    return joins.join_domains(*domains, registry, "driver")
 
 
 def reanalysis_only_of(raw: DataFrame) -> DataFrame:
@@ -174,8 +176,8 @@ def dense_calendar(spark, sf_dir):
 
 @registered
 def combined_timeline(spark, sf_dir):
-    history = a.event_history(spark, sf_dir)
-    return tl.combined_timeline(history, a.event_forecasts(spark, sf_dir))
+    history, forecasts = a.event_history(spark, sf_dir), a.event_forecasts(spark, sf_dir)
+    return tl.combined_timeline(history, forecasts, history_days=a.event_history_days(spark, sf_dir))
 
 
 @registered
@@ -195,6 +197,7 @@ def day_map_status(spark, sf_dir):
         EVENT_END,
         EVENT_LIMIT,
         EVENT_LIMIT,
+        forecast_days=a.event_forecast_days(spark, sf_dir),
     )
     return points.withColumn("color", F.array_join("color", ","))
 
@@ -259,7 +262,8 @@ def indicator_mix(spark, sf_dir):
 
 
 def _explored(spark, sf_dir) -> DataFrame:
-    return ex.explore(daily(spark, sf_dir), range(25), ("1996-01-01", "1999-12-31"), [HIGHER, ELEVATED])
+    keys = {"sites": range(25), "dates": ("1996-01-01", "1999-12-31")}
+    return ex.explore(daily(spark, sf_dir, **keys), **keys, severity=[HIGHER, ELEVATED])
 
 
 @registered
