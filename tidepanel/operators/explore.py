@@ -53,7 +53,8 @@ def choose_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 
 def sort_keys(df: DataFrame) -> list[str]:
-    return [c for c in (*PANEL_KEY, VINTAGE) if c in df.columns]
+    """The columns that make a row of a panel, forecast or catch frame unique."""
+    return [c for c in (*PANEL_KEY, VINTAGE, "species") if c in df.columns]
 
 
 def page_count(df: DataFrame, size: int) -> DataFrame:

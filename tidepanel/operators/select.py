@@ -58,14 +58,17 @@ def best_records(df: DataFrame, tie_breakers: Sequence[str] = ()) -> DataFrame:
     return top_row(df, PANEL_KEY, order)
 
 
+def vintage_order(parse: bool = False) -> list[Column]:
+    """Latest label first, by its text or, with ``parse``, by the instant it names."""
+    text = F.col(VINTAGE).desc()
+    return [vintage_instant(VINTAGE).desc_nulls_last(), text] if parse else [text]
+
+
 def latest_vintage(
     df: DataFrame, keys: Sequence[str] = PANEL_KEY, parse: bool = False, tie_breakers: Sequence[str] = ()
 ) -> DataFrame:
-    """Latest forecast vintage per key, by label text or, with ``parse``, by instant."""
-    order = [F.col(VINTAGE).desc(), *[F.col(name).desc() for name in tie_breakers]]
-    if parse:
-        order.insert(0, vintage_instant(VINTAGE).desc_nulls_last())
-    return top_row(df, keys, order)
+    """Latest forecast vintage per key."""
+    return top_row(df, keys, [*vintage_order(parse), *[F.col(name).desc() for name in tie_breakers]])
 
 
 def known_at(df: DataFrame, origin: Column, label: str = VINTAGE) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.dates import DayLike, as_day
 from tidepanel.functions.status import MISSING, indicator_status, status_color
 from tidepanel.operators.joins import calendar
-from tidepanel.operators.select import latest_vintage, on_keys
+from tidepanel.operators.select import latest_vintage, on_keys, top_row, vintage_order
 from tidepanel.specs import DAY, PANEL_KEY, SITE
 
 
@@ -44,11 +44,22 @@ def combined_timeline(
     """
     ahead = forecasts if min_day is None else forecasts.where(F.col(DAY) >= as_day(min_day))
     if per_site:
-        ahead = ahead.join(history.select(*PANEL_KEY), list(PANEL_KEY), "left_anti")
-    else:
-        days = distinct_days(history if history_days is None else history_days)
-        ahead = without_days(ahead, days)
-    return history.unionByName(latest_vintage(ahead, parse=parse_vintage), allowMissingColumns=True)
+        return _first_choice(history, ahead, forecast_first=False, parse=parse_vintage)
+    days = distinct_days(history if history_days is None else history_days)
+    ahead = latest_vintage(without_days(ahead, days), parse=parse_vintage)
+    return history.unionByName(ahead, allowMissingColumns=True)
+
+
+def _first_choice(history: DataFrame, ahead: DataFrame, forecast_first: bool, parse: bool = False) -> DataFrame:
+    """Per site-day the latest forecast or the history row, whichever kind comes first.
+
+    One window over both kinds replaces a latest-vintage window and an anti join.
+    """
+    both = history.withColumn("_ahead", F.lit(0)).unionByName(
+        ahead.withColumn("_ahead", F.lit(1)), allowMissingColumns=True
+    )
+    kind = F.col("_ahead").desc() if forecast_first else F.col("_ahead").asc()
+    return top_row(both, PANEL_KEY, [kind, *vintage_order(parse)]).drop("_ahead")
 
 
 def site_day_cards(
@@ -61,8 +72,7 @@ def site_day_cards(
 ) -> DataFrame:
     """Per site-day: the latest forecast vintage, else history, never an older day."""
     past, ahead = on_keys(history, sites, dates), on_keys(forecasts, sites, dates)
-    rest = past.join(ahead.select(*PANEL_KEY), list(PANEL_KEY), "left_anti")
-    cards = latest_vintage(ahead).unionByName(rest, allowMissingColumns=True)
+    cards = _first_choice(past, ahead, forecast_first=True)
     return cards.withColumn("indicator_status", indicator_status(wave_limit, wind_limit))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.contracts.validate import ContractError
-from tidepanel.specs import DAY, PANEL_KEY
+from tidepanel.operators.explore import sort_keys
+from tidepanel.specs import DAY
 
 EXPORT_LIMIT = 200_000
 SYNTHETIC_PREFIX = "SYNTHETIC_DEMO_"
@@ -61,18 +62,21 @@ def export(
     synthetic: bool | None = None,
     limit: int | None = None,
     mode: str = "errorifexists",
+    ordered: bool = True,
 ) -> str:
     """Write one export and return its path.
 
     CSV holds ISO days and a byte-order mark, JSON one record per line with ISO
     timestamps and explicit nulls, Parquet is Snappy.  ``limit`` refuses larger frames.
+    ``ordered`` range-sorts the rows by key, so the files read in key order.
     """
     fmt = fmt.lower()
     if fmt not in FORMATS:
         raise ValueError(f"unknown export format {fmt!r}")
     check_limit(df, limit)
     flag = is_synthetic(df) if synthetic is None else synthetic
-    rows = _uniform(df, flag)
+    keys = sort_keys(df) if ordered else []
+    rows = _uniform(df.orderBy(*keys) if keys else df, flag)
     path = export_path(folder, name, fmt, flag)
     if fmt == "csv":
         rows = _flat(_days_as(rows, lambda c: F.date_format(c, "yyyy-MM-dd")))
@@ -87,15 +91,14 @@ def export(
 
 
 def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Panel table by year, sorted by site and day inside each file.
+    """Panel table by year, sorted by its key inside each file.
 
-    The range shuffle on (day, site) balances files however the years differ in size
-    and gives each year few files; readers prune by year, then by file statistics.
+    The adaptive plan splits a large year and gathers small ones, so files are even
+    however the years differ; readers prune by year, then by row-group statistics.
     """
-    placed = df.withColumn("year", F.year(DAY))
+    placed = df.withColumn("year", F.year(DAY)).hint("rebalance", F.col("year"))
     (
-        placed.repartitionByRange(DAY, *[k for k in PANEL_KEY if k != DAY])
-        .sortWithinPartitions("year", *PANEL_KEY)
+        placed.sortWithinPartitions("year", *sort_keys(df))
         .write.mode(mode)
         .partitionBy("year")
         .option("compression", "snappy")

@@ -462,9 +462,7 @@ def snapshot_scan(spark, sf_dir):
     """Shards written per product, some without the wind column, read back three ways."""
     root = scratch_path(spark, "snapshot")
     raw = a.weather_raw(spark, sf_dir).drop("product").withColumn("year", F.year(DAY))
-    # The record key balances the files even if one site-day owns most of the rows.
-    raw = raw.repartitionByRange(DAY, SITE, "record_key")
-    early, late = raw.where("model = 'era5'"), raw.where("model <> 'era5'")
+    early, late = (raw.where(kind).hint("rebalance", F.col("year")) for kind in ("model = 'era5'", "model <> 'era5'"))
     early.write.partitionBy("year").parquet(f"{root}/data/weather_reanalysis/first")
     late.drop("wind_speed_10m_max").write.partitionBy("year").parquet(f"{root}/data/weather_reanalysis/second")
     late.write.partitionBy("year").parquet(f"{root}/data/weather_recent")
@@ -507,11 +505,11 @@ def synthetic_panel(spark, sf_dir):
 
 
 def _deliver(spark, sf_dir, label: str, **options) -> PanelStore:
-    """Weather records arriving in three deliveries, each taken in by its own stream run."""
+    """Weather records arriving in two deliveries, each taken in by its own stream run."""
     root = scratch_path(spark, label)
     raw = a.weather_raw(spark, sf_dir)
     store = PanelStore(f"{root}/store", tie_breakers=a.TIE, **options)
-    for delivery in ("precipitation_sum < 18", "precipitation_sum between 18 and 35", "precipitation_sum > 35"):
+    for delivery in ("precipitation_sum < 26", "precipitation_sum >= 26"):
         raw.where(delivery).write.mode("append").parquet(f"{root}/in")
         shards = shard_stream(spark, f"{root}/in", raw.schema, files_per_batch=10_000)
         stream_into(shards, store, lambda rows: rows.drop("_file")).awaitTermination()
