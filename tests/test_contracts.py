@@ -179,7 +179,9 @@ def test_catch_contract(spark):
 
 def test_ocean_contract(spark):
     good = text_frame(spark, OCEAN_COLUMNS, OCEAN)
-    assert validate_records(good, "ocean").where("not is_synthetic").count() == 1
+    typed = validate_records(good, "ocean")
+    assert typed.where("not is_synthetic").count() == 1
+    assert typed.schema["sea_surface_temperature"].metadata["unit"] == "°C"
     for code, values in {
         "V29": {"sea_surface_temperature": "46"},
         "V28": {"sea_surface_temperature": "warm"},

@@ -168,6 +168,8 @@ def test_coverage_windows_and_rounding(spark, sites):
     half = coverage_by_year(daily, sites, "2024-02-29", "2024-03-31").where("site_id = 'a'").first()
     assert (half["expected_days"], half["coverage_pct"]) == (32, 3.12)
     assert coverage_by_year(daily, sites, "2025-01-01", "2024-01-01").isEmpty()
+    listed = coverage_by_year(daily, ["a", "b", "c"], "2024-01-29", "2025-01-01")
+    assert listed.exceptAll(report).isEmpty() and listed.count() == report.count()
     assert rows(coverage_rollup(report)) == [(2024, 3 * 338, 1, 3 * 338 - 1), (2025, 3, 0, 3)]
     wide = coverage_table(report, [2024, 2025])
     assert wide.columns == ["site_id", "2024", "2025"] and wide.where("site_id = 'a'").first()["2024"] == 0.3
@@ -246,6 +248,7 @@ def test_pages_agree_near_and_deep(spark):
     for number in (1, 2, 11, 20):
         near, deep = ex.page(df, number, 50), ex.page(df, number, 50, heap_rows=0)
         assert [r["id"] for r in near.collect()] == [r["id"] for r in deep.collect()] == [1000 - 50 * (number - 1) - i for i in range(1, 51)]
+    assert (ex.page_within(3, 2), ex.page_within(2, 2), ex.page_within(0, 2)) == (1, 2, 1)
     assert ex.page(df, 21, 50).isEmpty() and ex.page(df, 21, 50, heap_rows=0).isEmpty()
     assert ex.page_count(df, 250).first()[:] == (1000, 4) and ex.page_count(df.limit(0), 25).first()[:] == (0, 1)
 

@@ -217,9 +217,12 @@ def validate_records(
     raw = blank_to_null(df)
     enforce(records_report(raw, kind, known, limit))
     numeric = ["catch_weight_kg"] if kind == "catch" else [v for v in OCEAN_VARIABLES if v in raw.columns]
-    return raw.withColumns(
-        {DAY: day(raw, DAY), **{v: number(v) for v in numeric}, "is_synthetic": F.lit(False)}
-    )
+    typed = [
+        day(raw, c).alias(c) if c == DAY else _described(c, number(c)) if c in numeric else F.col(c)
+        for c in raw.columns
+        if c != "is_synthetic"
+    ]
+    return raw.select(*typed, F.lit(False).alias("is_synthetic"))
 
 
 def profiles_report(df: DataFrame, limit: int | None = PROFILE_LIMIT) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.contracts.rules import known_frame
+from tidepanel.contracts.validate import Known
 from tidepanel.functions.dates import DayLike, as_day, local_today
 from tidepanel.functions.stats import percent
 from tidepanel.specs import DAY, SITE
@@ -15,11 +17,11 @@ COUNTS = ("available_rows", "weather_days", "marine_days", "paired_days")
 
 
 def coverage_by_year(
-    daily: DataFrame, sites: DataFrame, start: DayLike = "2010-01-01", end: DayLike = None
+    daily: DataFrame, sites: Known, start: DayLike = "2010-01-01", end: DayLike = None
 ) -> DataFrame:
     """Expected, available and paired days for every site and year, absent ones too.
 
-    The daily table is aggregated before it meets the spine, so only one row per
+    ``sites`` is a table with the sites expected, or a list of them.  The daily table is aggregated before it meets the spine, so only one row per
     site-year is shuffled to the join.
     """
     first = as_day(start)
@@ -35,7 +37,7 @@ def coverage_by_year(
         )
     )
     years = F.when(F.year(first) <= F.year(last), F.sequence(F.year(first), F.year(last)))
-    spine = sites.select(SITE).distinct().select(SITE, F.explode(years).alias("year"))
+    spine = known_frame(daily.sparkSession, sites).select(SITE, F.explode(years).alias("year"))
     lower = F.greatest(first, F.make_date("year", F.lit(1), F.lit(1)))
     upper = F.least(last, F.make_date("year", F.lit(12), F.lit(31)))
     expected = F.greatest(F.lit(0), F.datediff(upper, lower) + 1)

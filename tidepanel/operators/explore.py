@@ -63,6 +63,11 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
     return df.agg(rows.alias("rows"), F.greatest(F.lit(1), F.ceil(rows / F.lit(size))).cast("bigint").alias("pages"))
 
 
+def page_within(number: int, pages: int) -> int:
+    """The asked page, or the first one when it does not exist."""
+    return number if 1 <= number <= pages else 1
+
+
 def page(
     df: DataFrame, number: int, size: int, keys: Sequence[str] | None = None, heap_rows: int = HEAP_ROWS
 ) -> DataFrame:
