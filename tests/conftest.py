@@ -34,6 +34,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def no_cached_plans(spark):
+    """A frame cached by one test must not stand in for another test's plan."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def registry(spark):
     rows = [
