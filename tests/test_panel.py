@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import TODAY, rows
 from tidepanel import coverage_by_year, daily_panel, explore, forecast_panel, generate_bundle, timeline, view
 from tidepanel.operators.explore import key_figures, quality_counters
-from tidepanel.plans.panel import history_days
+from tidepanel.plans.panel import coverage, history_days
 from tidepanel.specs import PRODUCTS
 
 
@@ -91,6 +91,8 @@ def test_coverage_counts_leap_and_absent_years(bundle):
     assert report.where("year = 2024").agg(F.sum("expected_days")).first()[0] == 16 * 366
     assert report.where("year = 2024 and coverage_pct <> 100").isEmpty()
     assert report.where("paired_days + missing_pair_days <> expected_days").isEmpty()
+    direct = coverage(bundle, "2022-01-01", "2025-12-31", as_of=TODAY)
+    assert direct.exceptAll(report).isEmpty() and direct.count() == report.count()
 
 
 def test_timeline_spans_history_and_forecast(bundle):

@@ -52,6 +52,7 @@ def test_manifest_reads_only_listed_files(spark, snapshot):
     assert set(route(listed + ["metadata/sites.csv", "data/unknown/x.parquet", "data/weather_recent/readme.md"])) == {
         "weather_reanalysis", "marine_reanalysis", "weather_recent", "marine_recent", "marine_forecasts",
     }
+    assert set(route(["/data/old/data/weather_recent/year=2026/a.parquet"])) == {"weather_recent"}
     bundle = load_manifest(spark, snapshot, listed, "abc123")
     assert "weather_forecasts" not in bundle.products and bundle.revision == "abc123"
     assert daily_panel(bundle, as_of=TODAY).select("hf_revision").distinct().first()[0] == "abc123"

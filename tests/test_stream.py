@@ -56,6 +56,17 @@ def test_repeated_batch_changes_nothing(spark, bundle, tmp_path):
     assert [r[1:] for r in before[1]] == [(1, 0)] * 16
 
 
+def test_batch_of_repeats_only(spark, bundle, tmp_path):
+    store = PanelStore(str(tmp_path / "store"))
+    typed = bundle.products["marine_recent"]
+    store.absorb(typed, 0)
+    store.absorb(typed, 1)
+    store.absorb(typed.where("site_id = 'galle'").withColumn("snapshot_id", F.lit("2026-10-20")), 2)
+    assert spark.read.parquet(store.raw).count() == 119 and store.read_best(spark).count() == 112
+    assert store.read_best(spark).where("snapshot_id = '2026-10-20'").count() == 7
+    assert store.read_repeats(spark).where("batch = 1 and copies = 1 and accepted = 0").count() == 112
+
+
 def test_repeats_are_listed_and_strict_refuses_them(spark, bundle, tmp_path):
     typed = bundle.products["marine_recent"].where("site_id = 'galle'")
     store = PanelStore(str(tmp_path / "a"))

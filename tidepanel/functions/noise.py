@@ -7,7 +7,9 @@ partitioning, the retry or the order of rows, which ``rand(seed)`` cannot promis
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import pi, sqrt
+from operator import mul
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,11 +38,15 @@ class Draws:
         return F.exp(self.normal(label, mean, deviation))
 
     def gamma(self, label: str, shape: float, scale: float) -> Column:
-        """Marsaglia-Tsang draws (shape >= 1): the first accepted of a few tries.
+        """A gamma draw: a sum of exponentials for a whole shape, else Marsaglia-Tsang.
 
-        A try is accepted with probability above 0.95, so six of them fail together
-        about once in 10^8 rows; such a row takes the distribution's centre.
+        The latter takes the first accepted of a few tries.  A try is accepted with
+        probability above 0.95, so six of them fail together about once in 10^8 rows;
+        such a row takes the distribution's centre.
         """
+        if shape == int(shape):
+            product = reduce(mul, [self.unit(f"{label}/{i}") for i in range(int(shape))])
+            return F.lit(-scale) * F.log(product)
         d = shape - 1.0 / 3.0
         c = 1.0 / sqrt(9.0 * d)
         tries = []

@@ -122,6 +122,14 @@ def explorer(
     return explore(cut, sites, dates, severity, wave_limit, wind_limit)
 
 
+def coverage(
+    bundle: Bundle, start: DayLike, end: DayLike, include_recent: bool = False, as_of: DayLike = None
+) -> DataFrame:
+    """Coverage of a window, which also bounds what is read of both domains."""
+    daily = daily_panel(bundle, include_recent, as_of, dates=(start, end))
+    return coverage_by_year(daily, bundle.sites, start, end)
+
+
 def export_view(bundle: Bundle, name: str, folder: str, fmt: str, as_of: DayLike = None, limit: int | None = None) -> str:
     """A whole view as one export, named by its provenance."""
     return export(view(bundle, name, as_of), folder, name, fmt, synthetic=bundle.is_demo, limit=limit)

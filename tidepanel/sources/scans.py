@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidepanel.specs import PRODUCTS
 
-PRODUCT_PATH = re.compile(r"(?:^|/)data/([a-z_]+)/.+\.parquet$")
 _ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 
@@ -40,14 +39,19 @@ def read_snapshot(spark: SparkSession, root: str, products: Iterable[str] = tupl
     return {name: df for name, df in found.items() if df is not None}
 
 
+def _folder(products: Iterable[str]) -> str:
+    """Pattern of a product's folder in a path; other ``data`` folders above it do not match."""
+    return f"data/({'|'.join(map(re.escape, products))})/"
+
+
 def route(paths: Iterable[str], products: Iterable[str] = tuple(PRODUCTS)) -> dict[str, list[str]]:
     """Manifest paths grouped by the product folder they lie in; other files are left out."""
-    wanted = {name: [] for name in products}
+    shard = re.compile(rf"(?:^|/){_folder(products)}.*\.parquet$")
+    groups: dict[str, list[str]] = {}
     for path in paths:
-        hit = PRODUCT_PATH.search(path)
-        if hit and hit.group(1) in wanted:
-            wanted[hit.group(1)].append(path)
-    return {name: group for name, group in wanted.items() if group}
+        if hit := shard.search(path):
+            groups.setdefault(hit.group(1), []).append(path)
+    return groups
 
 
 def read_manifest(
@@ -61,9 +65,9 @@ def read_manifest(
     }
 
 
-def product_of_file(df: DataFrame) -> DataFrame:
+def product_of_file(df: DataFrame, products: Iterable[str] = tuple(PRODUCTS)) -> DataFrame:
     """Product name taken from each row's file path, for scans over several products."""
-    return df.withColumn("product", F.regexp_extract(F.col("_metadata.file_path"), r"/data/([a-z_]+)/", 1))
+    return df.withColumn("product", F.regexp_extract(F.col("_metadata.file_path"), f"/{_folder(products)}", 1))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -502,6 +502,16 @@ ORACLES: dict[str, str] = {
           cast(max(date_local) as varchar) as last_day, sum(precipitation_sum) as rain,
           count(*) filter (complete_pair) as pairs
         from daily cross join (values ('csv'), ('json'), ('parquet')) f(format) group by 1""",
+    "records_csv": f"""with {CATCH}
+        select fish_category, 'ledger, unit 1' as source, false as is_synthetic, count(*) as records,
+          sum(catch_weight_kg) as catch_weight_kg, cast(max(date_local) as varchar) as last_day
+        from catch group by 1""",
+    "bundle_views": """select view, 'synthetic_demo' as source_kind, 'both' as domain_match,
+          cast(days * (select count(*) from supplier) as bigint) as records,
+          cast(days * (select count(*) from supplier) as bigint) as with_wave, first_day, last_day
+        from (values ('timeline', 372, '2025-10-09', '2026-10-15'), ('past', 365, '2025-10-09', '2026-10-08'),
+                     ('reanalysis', 360, '2025-10-09', '2026-10-03'), ('forecasts', 7, '2026-10-09', '2026-10-15'))
+             t(view, days, first_day, last_day)""",
     "snapshot_scan": f"""with {WEATHER},
         shards as (
           select 'scan' as reader, 'weather_reanalysis' as product, wind_speed_10m_max, date_local from weather where model = 'era5'

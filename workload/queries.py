@@ -19,10 +19,11 @@ from tidepanel.operators import coverage as cov
 from tidepanel.operators import explore as ex
 from tidepanel.operators import joins, records, select
 from tidepanel.operators import timeline as tl
+from tidepanel.plans.panel import VIEWS, view
 from tidepanel.session import pin_utc, scratch_path
 from tidepanel.sinks.export import export
-from tidepanel.sources.scans import product_of_file, read_manifest, read_product
-from tidepanel.sources.synthetic import generate_products
+from tidepanel.sources.scans import product_of_file, read_manifest, read_product, read_records
+from tidepanel.sources.synthetic import generate_bundle, generate_products
 from tidepanel.specs import DAY, PANEL_KEY, RAW_KEY, SITE, SNAPSHOT, VINTAGE
 from tidepanel.streaming.ingest import PanelStore, shard_stream, stream_into
 from workload import adapters as a
@@ -232,7 +233,8 @@ def series_bridge(spark, sf_dir):
 
 
 def _coverage(spark, sf_dir) -> DataFrame:
-    return cov.coverage_by_year(daily(spark, sf_dir), a.nation_sites(spark, sf_dir), COVER_START, COVER_END)
+    rows = daily(spark, sf_dir, dates=(COVER_START, COVER_END))
+    return cov.coverage_by_year(rows, a.nation_sites(spark, sf_dir), COVER_START, COVER_END)
 
 
 @registered
@@ -457,6 +459,21 @@ def export_roundtrip(spark, sf_dir):
     )
 
 
+@registered
+def records_csv(spark, sf_dir):
+    """Catch records written as CSV, read back as text, checked and typed."""
+    folder = scratch_path(spark, "records")
+    catch = a.catch(spark, sf_dir).withColumns(
+        {SITE: F.col(SITE).cast("string"), "source": F.lit("ledger, unit 1"), "source_url": F.lit("https://example.org")}
+    )
+    back = read_records(spark, export(catch, folder, "catch", "csv", ordered=False))
+    known = a.nation_sites(spark, sf_dir).select(F.col(SITE).cast("string").alias(SITE))
+    typed = C.validate_records(back, "catch", known, limit=None)
+    return typed.groupBy("fish_category", "source", "is_synthetic").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("catch_weight_kg").alias("catch_weight_kg"), F.max(DAY).alias("last_day")
+    )
+
+
 @registered
 def snapshot_scan(spark, sf_dir):
     """Shards written per product, some without the wind column, read back three ways."""
@@ -501,6 +518,27 @@ def synthetic_panel(spark, sf_dir):
     return reduce(DataFrame.union, parts)
 
 
+@registered
+def bundle_views(spark, sf_dir):
+    """The explorer's four views of a generated bundle with one site per supplier."""
+    today = dt.date(2026, 10, 9)
+    registry = a.supplier_sites(spark, sf_dir).withColumn("lon_sea", F.coalesce("lon_sea", "lon_land"))
+    bundle = generate_bundle(registry, today, years=1, strict=False)
+    parts = [
+        view(bundle, name, today)
+        .groupBy("source_kind", "domain_match")
+        .agg(
+            F.count(F.lit(1)).alias("records"),
+            F.count("wave_height_max").alias("with_wave"),
+            F.min(DAY).alias("first_day"),
+            F.max(DAY).alias("last_day"),
+        )
+        .select(F.lit(name).alias("view"), "*")
+        for name in VIEWS
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 # -- streaming --------------------------------------------------------------------------------
 
 
