@@ -14,7 +14,7 @@ from tidepanel.functions.status import BELOW, ELEVATED, HIGHER, MISSING, indicat
 from tidepanel.operators import explore as ex
 from tidepanel.operators import records as rec
 from tidepanel.operators.coverage import coverage_by_year, coverage_rollup, coverage_table
-from tidepanel.operators.dimension import join_dimension
+from tidepanel.operators.dimension import hot_keys, join_dimension
 from tidepanel.operators.joins import calendar, fill_calendar, inner_loader, join_domains, on_passing_days
 from tidepanel.operators.timeline import combined_timeline, map_status, metric_series, site_day_cards
 
@@ -92,15 +92,19 @@ def test_shared_extra_columns_are_prefixed(weather_rows):
     assert joined.select("weather_note", "marine_note").first()[:] == ("w", "m")
 
 
-def test_large_dimension_is_salted_and_equal(spark, sites):
+def test_large_dimension_salts_hot_keys_and_stays_equal(spark, sites):
     days = spark.range(200).select(
         F.when(F.col("id") < 150, "a").otherwise(F.when(F.col("id") < 190, "b").otherwise("zz")).alias("site_id"),
         F.expr("date_add(date'2026-01-01', cast(id as int))").alias("date_local"),
     )
-    small, large = join_dimension(days, sites, "site_id"), join_dimension(days, sites, "site_id", rows=1, salts=4)
+    small = join_dimension(days, sites, "site_id")
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
-    assert large.columns == small.columns and large.count() == 200
-    assert large.exceptAll(small).isEmpty() and small.exceptAll(large).isEmpty()
+    assert rows(hot_keys(days, "site_id", 100)) == [("a", True)]
+    for how, expected in (("left", 200), ("inner", 190)):
+        large = join_dimension(days, sites, "site_id", how, rows=1, hot_rows=100, salts=4)
+        plain = days.join(sites, "site_id", how)
+        assert large.columns == plain.columns and large.count() == expected
+        assert large.exceptAll(plain).isEmpty() and plain.exceptAll(large).isEmpty()
 
 
 def test_inner_loader_drops_marine_provenance(spark, sites):

@@ -56,8 +56,9 @@ def test_repeated_batch_changes_nothing(spark, bundle, tmp_path):
     assert [r[1:] for r in before[1]] == [(1, 0)] * 16
 
 
-def test_batch_of_repeats_only(spark, bundle, tmp_path):
-    store = PanelStore(str(tmp_path / "store"))
+@pytest.mark.parametrize("period", ["month", "day"])
+def test_batch_of_repeats_only(spark, bundle, tmp_path, period):
+    store = PanelStore(str(tmp_path / "store"), period=period)
     typed = bundle.products["marine_recent"]
     store.absorb(typed, 0)
     store.absorb(typed, 1)

@@ -1,16 +1,14 @@
-"""Joining a dimension to a long table, whatever the dimension's size."""
+"""Joining a dimension to a long table, whatever the dimension's size and the key's skew."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.specs import DAY
-
 BROADCAST_ROWS = 100_000
-SALT = "_salt"
+HOT_ROWS = 10_000_000
+SALTS = 1024
+SALT, HOT = "_salt", "_hot"
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -18,23 +16,32 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def hot_keys(df: DataFrame, on: str, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys that own more than ``rows`` rows: at most ``count / rows`` of them."""
+    counts = df.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > rows).select(on, F.lit(True).alias(HOT))
+
+
 def join_dimension(
     df: DataFrame,
     dimension: DataFrame,
     on: str,
-    spread: Sequence[str] = (DAY,),
     how: str = "left",
     rows: int = BROADCAST_ROWS,
-    salts: int = 32,
+    hot_rows: int = HOT_ROWS,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Left or inner join to a dimension that is unique on ``on``.
 
     A dimension counted to be small is broadcast, so the long table does not move.
-    A larger one is repeated once per salt and the long table is spread by a hash of
-    ``spread``, so a key that owns a third of the rows still fills many tasks.
+    Beyond that both sides are shuffled, and only the hot keys are salted: their rows
+    spread over ``salts`` tasks and only their dimension rows are repeated.
     """
     if fits_broadcast(dimension, rows):
         return df.join(F.broadcast(dimension), on, how)
-    salted = df.withColumn(SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = dimension.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = F.broadcast(hot_keys(df, on, hot_rows))
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+    salted = df.join(hot, on, "left").withColumn(SALT, F.when(F.col(HOT), spread).otherwise(F.lit(0))).drop(HOT)
+    salt = F.when(F.col(HOT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = dimension.join(hot, on, "left").withColumn(SALT, F.explode(salt)).drop(HOT)
     return salted.join(copies, [on, SALT], how).drop(SALT)

@@ -2,13 +2,14 @@
 
 Layout below one shared folder::
 
-    raw/batch=<n>/part=<yyyy-MM>/    accepted rows of each micro-batch
-    repeats/batch=<n>/               raw keys delivered more than once, with counts
-    best/part=<yyyy-MM>/             best record per site-day
-    checkpoint/                      stream progress
-
-Every write of a batch overwrites that batch's own folder or recomputes whole months
-from the archive, so a batch that runs again after a failure leaves the same tables.
+    raw/batch=<n>/part=<period>/    accepted rows of each micro-batch
+    repeats/batch=<n>/              raw keys delivered more than once, with counts
+    best/part=<period>/             best record per site-day
+    checkpoint/                     stream progress
+
+Every write of a batch overwrites that batch's own folder or recomputes whole periods
+(days or months) from the archive, so a batch that runs again after a failure leaves the
+same tables.
 No watermark is used: a newer snapshot of an old day is normal and must count.
 """
 
@@ -49,19 +50,28 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def by_month(df: DataFrame) -> DataFrame:
-    """Months gathered into few files; the adaptive plan splits a month that is too large."""
+# The leading letter keeps partition values text when Spark infers their type.
+PERIODS = {"month": "'m'yyyy-MM", "day": "'d'yyyy-MM-dd"}
+
+
+def by_period(df: DataFrame) -> DataFrame:
+    """Periods gathered into few files; the adaptive plan splits one that is too large."""
     return df.hint("rebalance", F.col(PART))
 
 
 @dataclass(frozen=True)
 class PanelStore:
-    """Archive and best-record table of one domain."""
+    """Archive and best-record table of one domain.
+
+    ``period`` is what a late record makes the store recompute: months suit a small
+    panel, days one whose months are terabytes.
+    """
 
     root: str
     raw_key: Sequence[str] = RAW_KEY
     tie_breakers: Sequence[str] = ()
     strict: bool = False
+    period: str = "month"
 
     @property
     def raw(self) -> str:
@@ -82,20 +92,20 @@ class PanelStore:
         return spark.read.parquet(self.repeats)
 
     def absorb(self, rows: DataFrame, batch: int) -> None:
-        """Archive one batch of typed rows and refresh the months it touches.
+        """Archive one batch of typed rows and refresh the periods it touches.
 
         The batch is read once per use with only the columns that use needs, which
         costs less than caching whole rows.
         """
         spark = rows.sparkSession
-        rows = rows.withColumn(PART, F.date_format(DAY, "yyyy-MM"))
-        # The calendar bounds the months of a batch, whatever its number of rows.
-        months = [r[PART] for r in rows.select(PART).distinct().collect()]
-        if months:
-            self._archive(spark, rows, batch, months)
-            self._refresh(spark, batch, months)
-
-    def _archive(self, spark: SparkSession, rows: DataFrame, batch: int, months: list[str]) -> None:
+        rows = rows.withColumn(PART, F.date_format(DAY, PERIODS[self.period]))
+        # The calendar bounds the periods of a batch, whatever its number of rows.
+        periods = [r[PART] for r in rows.select(PART).distinct().collect()]
+        if periods:
+            self._archive(spark, rows, batch, periods)
+            self._refresh(spark, batch, periods)
+
+    def _archive(self, spark: SparkSession, rows: DataFrame, batch: int, periods: list[str]) -> None:
         keys = [*self.raw_key]
         archived = _read(spark, self.raw)
         rest = [c for c in rows.columns if c not in keys]
@@ -104,7 +114,7 @@ class PanelStore:
         if archived is None:
             repeats = copies.withColumn("accepted", F.lit(1))
         else:
-            earlier = archived.where((F.col(BATCH) < batch) & F.col(PART).isin(months)).select(*keys)
+            earlier = archived.where((F.col(BATCH) < batch) & F.col(PART).isin(periods)).select(*keys)
             accepted = accepted.join(earlier, keys, "left_anti")
             seen = earlier.withColumn("_seen", F.lit(1))
             repeats = copies.join(seen, keys, "left").withColumn("accepted", F.when(F.col("_seen").isNull(), 1).otherwise(0))
@@ -113,16 +123,16 @@ class PanelStore:
         if self.strict and not repeats.isEmpty():
             raise ContractError("stream", "V6", f"batch {batch}")
         repeats.write.mode("overwrite").parquet(f"{self.repeats}/{BATCH}={batch}")
-        by_month(accepted).write.mode("overwrite").partitionBy(PART).parquet(f"{self.raw}/{BATCH}={batch}")
+        by_period(accepted).write.mode("overwrite").partitionBy(PART).parquet(f"{self.raw}/{BATCH}={batch}")
 
-    def _refresh(self, spark: SparkSession, batch: int, months: list[str]) -> None:
-        """Recompute whole touched months from the archive; other months stay as they are."""
+    def _refresh(self, spark: SparkSession, batch: int, periods: list[str]) -> None:
+        """Recompute whole touched periods from the archive; the others stay as they are."""
         touched = _read(spark, self.raw)
         if touched is None:
             return
-        touched = touched.where((F.col(BATCH) <= batch) & F.col(PART).isin(months)).drop(BATCH)
+        touched = touched.where((F.col(BATCH) <= batch) & F.col(PART).isin(periods)).drop(BATCH)
         (
-            by_month(best_records(touched, self.tie_breakers))
+            by_period(best_records(touched, self.tie_breakers))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(PART)
