@@ -104,16 +104,16 @@ def inner_loader(
 
 
 def on_passing_days(records: DataFrame, passing: DataFrame, unrestricted_if_empty: bool = True) -> DataFrame:
-    """Records on the site-days of ``passing``; a record is never repeated.
+    """Records on the site-days of ``passing``; a semi join never repeats a record.
 
-    With ``unrestricted_if_empty`` an empty ``passing`` frame restricts nothing.  That
-    case is a condition beside the join, so the records are scanned once either way.
+    With ``unrestricted_if_empty`` an empty ``passing`` frame restricts nothing: the
+    records' own keys then stand in for the passing ones.  Both sides of the join are
+    plain shuffles, so the adaptive plan can split a site-day that owns most records.
     """
     keys = passing.select(*PANEL_KEY)
-    if not unrestricted_if_empty:
-        return records.join(keys, list(PANEL_KEY), "left_semi")
-    marked = records.join(keys.distinct().withColumn("_pass", F.lit(True)), list(PANEL_KEY), "left")
-    return marked.where(F.col("_pass") | ~keys.exists()).drop("_pass")
+    if unrestricted_if_empty:
+        keys = keys.union(records.select(*PANEL_KEY).where(~keys.exists()))
+    return records.join(keys, list(PANEL_KEY), "left_semi")
 
 
 def fill_calendar(df: DataFrame, sites: DataFrame, start, end, keep: Sequence[str] = ()) -> DataFrame:
