@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidepanel.functions.values import INFINITY
 from tidepanel.operators.joins import join_domains
@@ -12,8 +13,15 @@ from tidepanel.specs import DAY, SITE, SNAPSHOT, VINTAGE, WEATHER_METRICS, Produ
 TIE = ("record_key",)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables; its footer is read for the schema only once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def nation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
