@@ -55,7 +55,7 @@ def product_rules(df: DataFrame, spec: ProductSpec) -> list[RowRule]:
     rules.append(RowRule("V5", "model", ~F.col("model").eqNullSafe(F.lit(spec.model))))
     for metric in spec.metrics:
         value = number(metric)
-        rules.append(RowRule("V7", metric, number_unreadable(metric)))
+        rules.append(RowRule("V7", metric, number_unreadable(df, metric)))
         rules.append(RowRule("V8", metric, infinite(value)))
         rules += [
             RowRule(bound.code, metric, outside(value, bound.low, bound.high))
@@ -94,7 +94,7 @@ def catch_rules(df: DataFrame) -> list[RowRule]:
     return [
         *_present_rules("V22", [c for c in CATCH_REQUIRED if c != "catch_weight_kg"]),
         RowRule("V25", DAY, day_unreadable(df, DAY)),
-        RowRule("V28", "catch_weight_kg", number_unreadable("catch_weight_kg") | infinite(weight) | (weight < 0)),
+        RowRule("V28", "catch_weight_kg", number_unreadable(df, "catch_weight_kg") | infinite(weight) | (weight < 0)),
         RowRule("V30", "fish_category", ~F.col("fish_category").isin(*FISH_CATEGORIES)),
         RowRule("V31", "catch_weight_kg", F.col("catch_weight_kg").isNull() | F.isnan(F.col("catch_weight_kg").try_cast("double"))),
     ]
@@ -107,7 +107,7 @@ def ocean_rules(df: DataFrame) -> list[RowRule]:
         if name not in df.columns:
             continue
         value = number(name)
-        broken = number_unreadable(name) | infinite(value)
+        broken = number_unreadable(df, name) | infinite(value)
         if name == "sea_surface_temperature":
             rules.append(RowRule("V28", name, broken))
             rules.append(RowRule("V29", name, outside(value, *SEA_SURFACE_RANGE)))
@@ -132,7 +132,7 @@ def _line(dataset: str, code: str, column: str, count: Column) -> Column:
 
 def count_row_rules(df: DataFrame, dataset: str, rules: Sequence[RowRule]) -> DataFrame:
     """Violations of every row rule in a single map-side aggregate over ``df``."""
-    counted = df.agg(*[F.count_if(rule.violated).alias(f"_{i}") for i, rule in enumerate(rules)])
+    counted = df.agg(*[F.count(F.when(rule.violated, 1)).alias(f"_{i}") for i, rule in enumerate(rules)])
     lines = [_line(dataset, rule.code, rule.column, F.col(f"_{i}")) for i, rule in enumerate(rules)]
     return counted.select(F.inline(F.array(*lines)))
 

@@ -74,7 +74,8 @@ class ContractError(ValueError):
         self.dataset, self.code = dataset, code
 
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
+def union_reports(parts: Sequence[DataFrame]) -> DataFrame:
+    """Several reports as one, so that one action runs their scans side by side."""
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -111,7 +112,7 @@ def product_report(df: DataFrame, spec: ProductSpec, known: Known = CONFIGURED_S
     """V2-V15 of a raw product as rows of (dataset, rule, column, violations)."""
     require_columns(df, spec.name, "V1", spec.required)
     keyed = df.withColumn(DAY, day(df, DAY))
-    return _union(
+    return union_reports(
         [
             *_row_and_site_parts(df, spec.name, R.product_rules(df, spec), "V4", known),
             R.count_duplicates(keyed, spec.name, "V6", spec.raw_key),
@@ -121,7 +122,7 @@ def product_report(df: DataFrame, spec: ProductSpec, known: Known = CONFIGURED_S
 
 def row_report(df: DataFrame, spec: ProductSpec, known: Known = CONFIGURED_SITES) -> DataFrame:
     """The product contract without raw-key uniqueness, which a stream checks across batches."""
-    return _union(_row_and_site_parts(df, spec.name, R.product_rules(df, spec), "V4", known))
+    return union_reports(_row_and_site_parts(df, spec.name, R.product_rules(df, spec), "V4", known))
 
 
 def _described(metric: str, column):
@@ -165,7 +166,7 @@ def registry_report(sites: DataFrame, known: Known = CONFIGURED_SITES) -> DataFr
     """V17-V19: unknown, duplicate or absent sites, and coordinates."""
     require_columns(sites, "sites", "V16", REGISTRY_REQUIRED)
     configured = R.known_frame(sites.sparkSession, known)
-    return _union(
+    return union_reports(
         [
             R.count_duplicates(sites, "sites", "V17", [SITE]).withColumn("column", F.lit("duplicate site_id")),
             R.count_unknown_sites(sites, "sites", "V17", configured).withColumn("column", F.lit("unknown site_id")),
@@ -176,6 +177,7 @@ def registry_report(sites: DataFrame, known: Known = CONFIGURED_SITES) -> DataFr
 
 
 def typed_registry(sites: DataFrame) -> DataFrame:
+    require_columns(sites, "sites", "V16", REGISTRY_REQUIRED)
     return sites.withColumns({name: number(name) for name in R.COORDINATES})
 
 
@@ -207,7 +209,7 @@ def records_report(
     ]
     if limit is not None:
         parts.append(R.count_over_limit(df, kind, "V23", limit))
-    return _union(parts)
+    return union_reports(parts)
 
 
 def validate_records(
@@ -234,7 +236,7 @@ def profiles_report(df: DataFrame, limit: int | None = PROFILE_LIMIT) -> DataFra
     ]
     if limit is not None:
         parts.append(R.count_over_limit(df, "profiles", "V34", limit))
-    return _union(parts)
+    return union_reports(parts)
 
 
 def validate_profiles(df: DataFrame, limit: int | None = PROFILE_LIMIT) -> DataFrame:
@@ -255,5 +257,5 @@ def cardinality_report(
     parts = [R.count_duplicates(right, "right", "V-J", keys)]
     if kind == "one_to_one":
         parts.insert(0, R.count_duplicates(left, "left", "V-J", keys))
-    return _union(parts)
+    return union_reports(parts)
 

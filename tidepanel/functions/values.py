@@ -41,7 +41,10 @@ def number(name: str) -> Column:
     return F.nanvl(F.col(name).try_cast("double"), F.lit(None).cast("double"))
 
 
-def number_unreadable(name: str) -> Column:
+def number_unreadable(df: DataFrame, name: str) -> Column:
+    """True where a text is present but is not a number; other types always read."""
+    if not is_text(df, name):
+        return F.lit(False)
     return F.col(name).isNotNull() & F.col(name).try_cast("double").isNull()
 
 
@@ -64,14 +67,9 @@ def day_unreadable(df: DataFrame, name: str) -> Column:
 
 def outside(value: Column, low: float | None, high: float | None) -> Column:
     """Violates the closed range; NULL never does, infinities are reported apart."""
-    finite = F.abs(value) != F.lit(INFINITY)
-    parts = []
-    if low is not None:
-        parts.append(value < F.lit(low))
-    if high is not None:
-        parts.append(value > F.lit(high))
-    broken = parts[0] if len(parts) == 1 else parts[0] | parts[1]
-    return finite & broken
+    below = F.lit(False) if low is None else (value < F.lit(low)) & (value > F.lit(-INFINITY))
+    above = F.lit(False) if high is None else (value > F.lit(high)) & (value < F.lit(INFINITY))
+    return below | above
 
 
 def infinite(value: Column) -> Column:

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepanel.contracts.validate import (
     ContractError,
     Known,
+    enforce,
+    product_report,
+    registry_report,
     typed_product,
     typed_registry,
-    validate_product,
-    validate_registry,
+    union_reports,
 )
 from tidepanel.session import pin_utc
 from tidepanel.sources.scans import read_manifest, read_registry, read_snapshot
@@ -65,16 +67,12 @@ def assemble(
         for name in NEEDED:
             if name not in products or products[name].isEmpty():
                 raise ContractError("bundle", "V20", name)
-        typed = {
-            name: validate_product(df, specs[name], known, synthetic) for name, df in products.items()
-        }
-        registry = validate_registry(sites, known)
-    else:
-        typed = {name: typed_product(df, specs[name], synthetic) for name, df in products.items()}
-        registry = typed_registry(sites)
+        reports = [product_report(df, specs[name], known) for name, df in products.items()]
+        enforce(union_reports([*reports, registry_report(sites, known)]))
+    typed = {name: typed_product(df, specs[name], synthetic) for name, df in products.items()}
     return Bundle(
         products=typed,
-        sites=registry,
+        sites=typed_registry(sites),
         revision=revision,
         source=source,
         last_modified=last_modified,
