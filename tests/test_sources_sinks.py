@@ -4,6 +4,7 @@ import datetime as dt
 import shutil
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,18 @@ def test_export_roundtrip(spark, three, tmp_path, fmt):
         assert '"date_local":"2026-09-01T00:00:00.000"' in text and '"wave_height_max":null' in text
 
 
+def test_csv_quotes_and_lists(spark, tmp_path):
+    note = 'said "calm", then left'
+    df = spark.createDataFrame([("a", note, [203, 69])], "site_id string, note string, color array<int>")
+    path = export(df, str(tmp_path), "notes", "csv")
+    part = next(Path(path).glob("part-*.csv"))
+    assert pd.read_csv(part, encoding="utf-8-sig").iloc[0].to_dict() == {"site_id": "a", "note": note, "color": "[203,69]"}
+    assert read_records(spark, path).first()[:] == ("a", note, "[203,69]")
+    broken = tmp_path / "lines.csv"
+    broken.write_text('site_id,note\na,"two\nlines"\n')
+    assert read_records(spark, str(broken), multi_line=True).first()["note"] == "two\nlines"
+
+
 def test_export_limit_and_formats(three, tmp_path):
     with pytest.raises(ContractError) as caught:
         export(three, str(tmp_path), "x", "csv", limit=2)

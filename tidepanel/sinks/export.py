@@ -81,7 +81,7 @@ def export(
     if fmt == "csv":
         rows = _flat(_days_as(rows, lambda c: F.date_format(c, "yyyy-MM-dd")))
         marked = rows.toDF(BOM + rows.columns[0], *rows.columns[1:])
-        marked.write.mode(mode).option("header", True).csv(path)
+        marked.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         rows = _days_as(rows, lambda c: c.cast("timestamp_ntz"))
         rows.write.mode(mode).option("ignoreNullFields", "false").json(path)

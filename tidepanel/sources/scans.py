@@ -70,9 +70,14 @@ def product_of_file(df: DataFrame, products: Iterable[str] = tuple(PRODUCTS)) ->
     return df.withColumn("product", F.regexp_extract(F.col("_metadata.file_path"), f"/{_folder(products)}", 1))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with every cell as text; contracts decide what is a number or a date."""
-    return spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV with every cell as text; contracts decide what is a number or a date.
+
+    Quotes inside a quoted cell are doubled.  ``multi_line`` allows line breaks in cells
+    at the price of one task per file.
+    """
+    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
+    return reader.option("multiLine", multi_line).csv(path)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +85,6 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Catch, ocean or profile CSV before its contract."""
-    return read_csv(spark, path)
-
+    return read_csv(spark, path, multi_line)
