@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import TODAY, rows
 from tidepanel.operators.select import best_records
-from tidepanel.plans.panel import past_products
+from tidepanel.plans.panel import daily_from_stores, daily_panel, forecast_panel, forecasts_from_stores, past_products
 from tidepanel.sources.scans import read_product
 from tidepanel.streaming.ingest import PanelStore, ingest_domain
 
@@ -66,6 +66,9 @@ def test_batch_of_repeats_only(spark, bundle, tmp_path, period):
     assert spark.read.parquet(store.raw).count() == 119 and store.read_best(spark).count() == 112
     assert store.read_best(spark).where("snapshot_id = '2026-10-20'").count() == 7
     assert store.read_repeats(spark).where("batch = 1 and copies = 1 and accepted = 0").count() == 112
+    two = store.read_best(spark, ("2026-10-03", "2026-10-04"))
+    assert two.count() == 32
+    assert "PartitionFilters: [isnotnull(part" in two._jdf.queryExecution().executedPlan().toString()
 
 
 def test_repeats_are_listed_and_strict_refuses_them(spark, bundle, tmp_path):
@@ -89,3 +92,19 @@ def test_contract_holds_in_the_stream(spark, drop_zone, tmp_path):
     good.drop("wave_period_max").coalesce(1).write.parquet(f"{narrow}/data/marine_recent")
     with pytest.raises(Exception, match="wave_period_max"):
         run(spark, narrow, PanelStore(str(tmp_path / "s2")))
+
+
+def test_stores_give_the_batch_panels(spark, bundle, snapshot, tmp_path):
+    def stores(kinds):
+        made = []
+        for domain in ("weather", "marine"):
+            store = PanelStore(str(tmp_path / f"{domain}-{kinds[0]}"))
+            ingest_domain(spark, snapshot, domain, store, kinds=kinds).awaitTermination()
+            made.append(store)
+        return made
+
+    streamed = daily_from_stores(*stores(("reanalysis", "recent")), bundle.sites, bundle.revision, TODAY)
+    batch = daily_panel(bundle, True, TODAY).select(streamed.columns)
+    assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
+    ahead = forecasts_from_stores(*stores(("forecasts",)), bundle.sites, bundle.revision)
+    assert ahead.count() == 112 and set(ahead.columns) == set(forecast_panel(bundle).columns)

@@ -18,6 +18,7 @@ from tidepanel.operators.timeline import combined_timeline
 from tidepanel.sinks.export import export, export_path, write_panel
 from tidepanel.sources.bundle import Bundle
 from tidepanel.specs import DAY, PRODUCTS
+from tidepanel.streaming.ingest import PanelStore
 
 Dates = tuple[DayLike, DayLike] | None
 VIEWS = ("timeline", "past", "reanalysis", "forecasts")
@@ -74,6 +75,21 @@ def forecast_panel(bundle: Bundle, sites: Iterable | None = None, dates: Dates =
     return join_domains(weather, marine, bundle.sites, bundle.revision, forecast=True)
 
 
+def daily_from_stores(
+    weather: PanelStore, marine: PanelStore, sites: DataFrame, revision: str, as_of: DayLike = None, dates: Dates = None
+) -> DataFrame:
+    """Daily panel of two incrementally kept best-record tables; nothing is selected again."""
+    spark = sites.sparkSession
+    domains = [before(store.read_best(spark, dates), as_of) for store in (weather, marine)]
+    return join_domains(*domains, sites, revision)
+
+
+def forecasts_from_stores(weather: PanelStore, marine: PanelStore, sites: DataFrame, revision: str) -> DataFrame:
+    """Forecast panel of two incrementally kept forecast archives."""
+    spark = sites.sparkSession
+    return join_domains(weather.read_raw(spark), marine.read_raw(spark), sites, revision, forecast=True)
+
+
 def history_days(bundle: Bundle, include_recent: bool = True, as_of: DayLike = None) -> DataFrame:
     """Days of the daily panel, read from one raw column: selection and join keep them all."""
     parts = [past_products(bundle, d, include_recent, as_of).select(DAY) for d in ("weather", "marine")]

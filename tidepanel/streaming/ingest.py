@@ -33,7 +33,8 @@ from tidepanel.contracts.validate import (
     row_report,
     typed_product,
 )
-from tidepanel.operators.select import best_records, top_row
+from tidepanel.functions.dates import DayLike, as_day
+from tidepanel.operators.select import best_records, on_keys, top_row
 from tidepanel.session import pin_utc
 from tidepanel.sources.scans import product_of_file
 from tidepanel.specs import CONFIGURED_SITES, DAY, PRODUCTS, RAW_KEY, ProductSpec
@@ -85,8 +86,17 @@ class PanelStore:
     def repeats(self) -> str:
         return f"{self.root}/repeats"
 
-    def read_best(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.best).drop(PART)
+    def read_best(self, spark: SparkSession, dates: tuple[DayLike, DayLike] | None = None) -> DataFrame:
+        """Best records, on request of a range of days, which also picks the folders to read."""
+        best = spark.read.parquet(self.best)
+        if dates is not None:
+            low, high = (F.date_format(as_day(day), PERIODS[self.period]) for day in dates)
+            best = on_keys(best.where(F.col(PART).between(low, high)), dates=dates)
+        return best.drop(PART)
+
+    def read_raw(self, spark: SparkSession) -> DataFrame:
+        """Every accepted row of every delivery."""
+        return spark.read.parquet(self.raw).drop(PART, BATCH)
 
     def read_repeats(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.repeats)
@@ -179,13 +189,17 @@ def ingest_domain(
     store: PanelStore,
     known: Known = CONFIGURED_SITES,
     files_per_batch: int = 1000,
+    kinds: Sequence[str] = ("reanalysis", "recent"),
 ) -> StreamingQuery:
-    """Stream a domain's past products below ``root/data`` into ``store``.
+    """Stream a domain's products of some kinds below ``root/data`` into ``store``.
+
+    Past products share a store, which keeps their best record; forecasts take one of
+    their own, whose raw rows are the vintages.
 
     A fixed schema would fill an absent column with nulls, so the columns of each
     batch's files are read again and checked; their number is ``files_per_batch``.
     """
-    specs = [PRODUCTS[f"{domain}_{kind}"] for kind in ("reanalysis", "recent")]
+    specs = [PRODUCTS[f"{domain}_{kind}"] for kind in kinds]
     path = f"{root}/data/{{{','.join(s.name for s in specs)}}}"
     shards = product_of_file(shard_stream(spark, path, product_schema(specs), files_per_batch))
 
