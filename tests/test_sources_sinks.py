@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import TODAY, rows
-from tidepanel import ContractError, daily_panel, load_manifest, load_snapshot
+from tidepanel import ContractError, daily_panel, load_manifest, load_snapshot, validate_product
 from tidepanel.plans.panel import explorer, export_view, publish, timeline
 from tidepanel.sinks.export import export, write_panel
 from tidepanel.sources.scans import product_of_file, read_product, read_records, read_registry, route
 from tidepanel.sources.synthetic import generate_bundle
 from tidepanel.contracts.validate import validate_records
+from tidepanel.specs import PRODUCTS
 
 
 def test_partition_folders_do_not_become_columns(spark, snapshot):
@@ -46,6 +47,25 @@ def test_column_missing_from_one_shard_is_null_and_from_all_is_rejected(spark, s
     assert caught.value.code == "V1"
 
 
+def test_shards_may_hold_a_column_in_different_types(spark, snapshot, tmp_path):
+    whole = spark.read.parquet(f"{snapshot}/data/marine_recent").drop("year")
+    parts = {
+        "a": whole.where("date_local < '2026-10-04'"),
+        "b": whole.where("date_local = '2026-10-04'").withColumn("wave_period_max", F.col("wave_period_max").cast("long")),
+        "c": whole.where("date_local > '2026-10-04'").withColumns(
+            {"date_local": F.col("date_local").cast("string"), "wave_height_max": F.col("wave_height_max").cast("string")}
+        ),
+    }
+    for name, df in parts.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/data/marine_recent/{name}")
+    merged = read_product(spark, str(tmp_path), "marine_recent")
+    typed = validate_product(merged, PRODUCTS["marine_recent"])
+    assert typed.schema["date_local"].dataType.simpleString() == "date"
+    columns = ["site_id", "date_local", "wave_height_max", "wave_direction_dominant"]
+    assert rows(typed, *columns) == rows(whole, *columns)
+    assert typed.where("date_local = '2026-10-04' and wave_period_max <> floor(wave_period_max)").isEmpty()
+
+
 def test_manifest_reads_only_listed_files(spark, snapshot):
     listed = [
         str(p.relative_to(snapshot)) for p in Path(snapshot, "data").rglob("*.parquet") if "weather_forecasts" not in str(p)

@@ -2,28 +2,63 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType, StructType
 
 from tidepanel.specs import PRODUCTS
 
 _ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 
-def _shards(spark: SparkSession, *paths: str) -> DataFrame:
-    """All shards as one table: columns merged by name, partition folders ignored."""
+def _reader(spark: SparkSession, merge: bool) -> DataFrameReader:
+    """Shards as one table: partition folders are ignored, other files left out."""
     return (
-        spark.read.option("mergeSchema", "true")
+        spark.read.option("mergeSchema", str(merge).lower())
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
-        .parquet(*paths)
     )
 
 
+def _shards(spark: SparkSession, *paths: str) -> DataFrame:
+    """All shards of a product, columns merged by name."""
+    try:
+        return _reader(spark, True).parquet(*paths)
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE_SCHEMAS" not in str(error):
+            raise
+        return _shards_of_mixed_types(spark, *paths)
+
+
+def _shards_of_mixed_types(spark: SparkSession, *paths: str) -> DataFrame:
+    """Union of shards that hold a column in different types, one scan per distinct schema.
+
+    Numbers meet as double and anything else as text, which the contract then reads.
+    """
+    groups: dict[str, list[str]] = {}
+    for path in _reader(spark, False).parquet(*paths).inputFiles():
+        groups.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+    frames = [_reader(spark, False).schema(StructType.fromJson(json.loads(key))).parquet(*files) for key, files in groups.items()]
+    kinds: dict[str, set[DataType]] = {}
+    for df in frames:
+        for field in df.schema:
+            kinds.setdefault(field.name, set()).add(field.dataType)
+    common = {
+        name: "double" if all(isinstance(kind, NumericType) for kind in found) else "string"
+        for name, found in kinds.items()
+        if len(found) > 1
+    }
+    cast = [df.withColumns({c: F.col(c).cast(common[c]) for c in df.columns if c in common}) for df in frames]
+    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), cast)
+
+
 def read_product(spark: SparkSession, root: str, product: str) -> DataFrame | None:
     """Every shard below ``root/data/<product>``; ``None`` when there is none."""
     try:
