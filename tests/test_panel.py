@@ -1,4 +1,4 @@
-"""The reference behaviours on a complete generated bundle."""
+"""Behaviour of the whole panel on a generated bundle."""
 
 import datetime as dt
 
