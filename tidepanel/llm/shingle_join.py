@@ -1,18 +1,18 @@
 """Documents whose word shingles overlap: T-occurrence search over inverted lists, and linked components.
 
 Two documents link when the Jaccard similarity of their sets of distinct 3-word shingles is at
-least 0.9.  Texts with one and the same set are one node, so copies cost one row each.
+least 0.9.  Texts with one and the same set are one node, so copies cost one row each; sets, like
+shingles, are told apart by 64-bit hashes.
 
 1. Every node posts the first ``n - ceil(0.9 n) + 1`` shingles of its set in hash order.  Two
    linked sets share one of them at least.
-2. Star round: each posted shingle names its most central node, and the other nodes are searched
-   against it.  Links found there contract most copies, with no more pairs than postings.
-3. Cross round: the shingles whose nodes still lie in several components are searched in blocks,
-   across components only.  A parity bitmap of each set bounds the distance of a pair from below
-   and rejects most pairs inside the task.
-4. Both rounds decide by T-occurrence search: a node is the query, and the candidate sets are
-   turned into inverted lists over its shingles.  DivideSkip heap-merges the short lists and
-   binary-probes the long ones for what the short ones left.
+2. Nodes that post the same shingle are compared in blocks by their sizes and by parity bitmaps of their
+   sets, which bound the distance of a pair from below.  Pairs that may link are joined up inside the task, so
+   a block passes on a forest, never its pairs.  The components of all forests hold every link.
+3. Each such component is searched, cut into bins if it is large: its sets become inverted lists, every node
+   is a query, and DivideSkip heap-merges the short lists and binary-probes the long ones for
+   what the short ones left.  Nodes already connected are not searched against each other.
+4. The links found give the components.
 """
 
 from __future__ import annotations
@@ -33,13 +33,14 @@ from tidepanel.llm.hashing import mixed, word_bounds, word_hashes
 WIDTH = 3
 #: Similarity in percent: a link needs 100 * intersection >= SIMILAR * union.
 SIMILAR = 90
+#: Bits of the bitmaps of sets with less than four times as many shingles; larger sets have four times the bits, and so on.
 BITMAP_BITS = 1024
 #: Nodes of one shingle that one task compares with each other.
 BLOCK = 2048
 #: At most so many 8-byte ids are broadcast; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 500_000
-#: Candidate sets turned into inverted lists at a time.
-SEARCH_TOKENS = 400_000
+#: Shingles of the sets that one bin holds, and of those turned into inverted lists at a time.
+BIN_TOKENS, SEARCH_TOKENS = 1_000_000, 400_000
 
 
 def overlap_needed(a, b):
@@ -71,52 +72,61 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
             at += count
 
 
-def node_of(found: np.ndarray) -> bytes:
-    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+def node_of(found: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def bitmap_of(found: np.ndarray) -> bytes:
-    parity = np.bincount((found >> np.uint64(20)).astype(np.int64) % BITMAP_BITS, minlength=BITMAP_BITS) & 1
+def width_class(n: int) -> int:
+    """0 for sets whose bitmap has ``BITMAP_BITS`` bits, 1 for four times as many, and so on."""
+    return max(0, (max(1, n // (4 * BITMAP_BITS)).bit_length() + 1) // 2 if n >= 4 * BITMAP_BITS else 0)
+
+
+def bitmap_of(found: np.ndarray, kind: int) -> bytes:
+    bits = BITMAP_BITS * 4**kind
+    parity = np.bincount((found >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 
-_PROFILE = "doc_id long, n_shingles long, node binary, prefix array<long>, bitmap binary"
+def bitmaps_of(found: np.ndarray) -> list[dict]:
+    """Bitmaps in the set's own width and in the width of the largest set that it may link with."""
+    kinds = {width_class(len(found)), width_class(100 * len(found) // SIMILAR)}
+    return [{"kind": k, "bits": bitmap_of(found, k)} for k in sorted(kinds)]
+
+
+_PROFILE = "doc_id long, n_shingles long, node long, prefix array<long>, bitmaps array<struct<kind:int,bits:binary>>"
+_BITMAPS = pa.list_(pa.struct([("kind", pa.int32()), ("bits", pa.binary())]))
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id")
         sizes, nodes, prefixes, bitmaps = [], [], [], []
         for found in shingle_sets(batch.column("text")):
             sizes.append(len(found))
             nodes.append(node_of(found) if len(found) else None)
             prefixes.append(found[: prefix_length(len(found))].view(np.int64))
-            bitmaps.append(bitmap_of(found) if len(found) else None)
+            bitmaps.append(bitmaps_of(found) if len(found) else [])
         bounds = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
         flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [
-                ids,
-                pa.array(sizes, pa.int64()),
-                pa.array(nodes, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)),
-                pa.array(bitmaps, pa.binary()),
-            ],
-            names=["doc_id", "n_shingles", "node", "prefix", "bitmap"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array(bitmaps, _BITMAPS)],
+            names=["doc_id", "n_shingles", "node", "prefix", "bitmaps"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(nodes: list[int], packed: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], names=["set", "shingles"])
+
     for batch in batches:
         nodes, packed, size = [], [], 0
         for found in shingle_sets(batch.column("text")):
             nodes.append(node_of(found))
             packed.append(found.tobytes())
             size += len(packed[-1])
-            if size > 32 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], names=["node", "shingles"])
+            if size > 8 << 20:
+                yield out(nodes, packed)
                 nodes, packed, size = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], names=["node", "shingles"])
+        yield out(nodes, packed)
 
 
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: np.ndarray) -> np.ndarray:
@@ -162,109 +172,141 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: np.ndarra
     return reached
 
 
+def _links_of(a: pa.Array | list, b: pa.Array | list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _root(parent: np.ndarray, i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return int(i)
+
+
+def connected(nodes: list[int], sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
+    """Links that connect what is linked among the nodes of one bin; ``sides`` 0 and 1 are searched against each other, 2 against all."""
+    parent = np.arange(len(nodes))
+    size = np.array([len(s) for s in sets])
+    side = np.array(sides)
+    out = []
+    for i in np.argsort(-size, kind="stable"):
+        roots = np.array([_root(parent, j) for j in range(len(nodes))]) if len(out) else parent
+        smaller = (size < size[i]) | ((size == size[i]) & (np.arange(len(nodes)) > i))
+        others = np.flatnonzero(smaller & (roots != roots[i]) & ((side != side[i]) | (side == 2)) & (size >= overlap_needed(size[i], size)))
+        while len(others):
+            some = others[: max(1, int(np.searchsorted(np.cumsum(size[others]), SEARCH_TOKENS)))]
+            others = others[len(some) :]
+            found = divide_skip(sets[i], [sets[j] for j in some], overlap_needed(size[i], size[some]))
+            for j in some[found]:
+                out.append((nodes[i], nodes[j]))
+                x, y = _root(parent, i), _root(parent, j)
+                parent[max(x, y)] = min(x, y)
+    return out
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by query, each query's own set (``other`` NULL) first; yields its links."""
-    query, own, others, sets, size = None, None, [], [], 0
+    """Links within each run of rows of one bin (group, i, j)."""
+    run, held = None, {}
 
-    def links() -> tuple[list, list]:
-        found = divide_skip(own, sets, overlap_needed(len(own), np.array([len(s) for s in sets])))
-        kept_ = [o for o, f in zip(others, found, strict=True) if f]
-        return [query] * len(kept_), kept_
+    def found() -> pa.RecordBatch:
+        sides = [2 if run[1] == run[2] else int(h[1] == run[2]) for h in held.values()]
+        links = connected(list(held), [h[0] for h in held.values()], sides) if len(held) > 1 else []
+        return _links_of([x for x, _ in links], [y for _, y in links])
 
     for batch in batches:
-        a, b = [], []
-        for q, other, packed in zip(batch.column("query"), batch.column("other"), batch.column("shingles"), strict=True):
-            q, other, tokens = q.as_py(), other.as_py(), np.frombuffer(packed.as_buffer(), np.uint64)
-            if (q != query or size > SEARCH_TOKENS) and others:
-                got = links()
-                a, b = a + got[0], b + got[1]
-                others, sets, size = [], [], 0
-            if other is None:
-                query, own = q, tokens.copy()
-            elif q == query:
-                others.append(other)
-                sets.append(tokens.copy())
-                size += len(tokens)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-    if others:
-        a, b = links()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-
-def searched(pairs: DataFrame, docs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
-    """The pairs (query, other) that T-occurrence search retains, as links (a, b).
-
-    ``docs`` names one document of each node; ``texts`` has the documents.  Sets are made again from the texts of
-    the nodes in ``pairs`` alone.  A query with many candidates is split over ``part``.
-    """
-    pairs = kept(pairs, f"{label}-pairs")
-    ids = pairs.select(F.col("query").alias("node")).unionByName(pairs.select(F.col("other").alias("node"))).distinct()
-    needed = kept(ids.join(docs.select("node", "rep"), "node").select("rep").distinct(), f"{label}-ids")
-    if needed.count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
-    sets = kept(
-        texts.join(needed, texts.doc_id.eqNullSafe(needed.rep), "left_semi").select("text").mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]),
-        f"{label}-sets",
-    )
-    spread = pairs.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(64)).cast("int"))
-    parts = spread.select("query", "part").distinct()
-    rows = (
-        parts.join(sets, parts.query == sets.node).select("query", "part", F.lit(None).cast("binary").alias("other"), "shingles")
-    ).unionByName(spread.join(sets, spread.other == sets.node).select("query", "part", "other", "shingles"))
-    return kept(
-        rows.repartition("query", "part").sortWithinPartitions("query", "part", F.col("other").asc_nulls_first())
-        .select("query", "other", "shingles")
-        .mapInArrow(_search, "a binary, b binary"),
-        f"{label}-links",
-    )
+        keys = [batch.column(c).to_pylist() for c in ("group", "i", "j", "node", "block")]
+        for group, i, j, node, block, packed in zip(*keys, batch.column("shingles"), strict=True):
+            if (group, i, j) != run:
+                if held:
+                    yield found()
+                run, held = (group, i, j), {}
+            held[node] = (np.frombuffer(packed.as_buffer(), np.uint64).copy(), block)
+    if held:
+        yield found()
 
 
-_BITS = BITMAP_BITS // 64
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that may link, of each (token, i, j) run of sorted rows."""
-    held: list[tuple] = []
-    run = None
-
-    def pairs() -> Iterator[tuple[list, list]]:
-        node = [h[0] for h in held]
-        comp = np.unique([h[1] for h in held], return_inverse=True)[1]
-        size = np.array([h[2] for h in held], np.int64)
-        bits = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(-1, _BITS)
-        side = np.array([h[4] for h in held])
-        left = np.flatnonzero(side != 1) if run[1] != run[2] else np.arange(len(held))
-        right = np.flatnonzero(side == 1) if run[1] != run[2] else left
-        for i in left:
-            others = right[right > i] if run[1] == run[2] else right
-            others = others[comp[others] != comp[i]]
-            total = size[others] + size[i]
-            need = overlap_needed(size[i], size[others])
-            fits = np.minimum(size[others], size[i]) >= need
-            others, total, need = others[fits], total[fits], need[fits]
-            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            others = others[apart <= total - 2 * need]
-            if len(others):
-                yield [node[i]] * len(others), [node[o] for o in others]
-
-    def flushed() -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for x, y in pairs() if len(held) > 1 else ():
-            a, b = a + x, b + y
-            if len(a) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+def searched(groups: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is linked within each group of ``groups`` (node, component).
+
+    Sets are made again from the texts of the nodes in ``groups`` alone and each travels once to every bin that needs it.
+    """
+    sized = groups.join(nodes.select("node", "rep", "n_shingles"), "node")
+    totals = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BIN_TOKENS).cast("int").alias("blocks"))
+    members = kept(
+        sized.join(totals, "component").select("rep", "node", F.col("component").alias("group"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members"
+    )
+    needed = members.select("rep").distinct()
+    if members.count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)
+    sets = texts.join(needed, texts.doc_id.eqNullSafe(needed.rep), "left_semi").select("text").mapInArrow(_sets, "set long, shingles binary")
+    bins = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "group", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    rows = bins.join(sets, bins.node == sets["set"]).select("group", "i", "j", "node", "block", "shingles")
+    return kept(rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_search, "a long, b long").distinct(), "links")
+
+
+def _bytes_matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long binaries as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _forest(key: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, side: np.ndarray, bits: np.ndarray) -> tuple[list, list]:
+    """Pairs that may link and join up what may be linked, within runs of equal rows of ``key``; ``side`` 2 pairs with all, others across."""
+    n = len(node)
+    new = np.ones(n, bool)
+    new[1:] = (key[1:] != key[:-1]).any(axis=1)
+    runs = np.cumsum(new) - 1
+    end = np.append(np.flatnonzero(new)[1:], n)[runs]
+    parent = np.arange(n)
+    a_out, b_out = [], []
+    rows, shift = np.arange(n), 1
+    while True:
+        rows = rows[rows + shift < end[rows]]
+        if not len(rows):
+            return a_out, b_out
+        a, b = rows, rows + shift
+        keep = (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == 2)) & (node[a] != node[b])
+        a, b = a[keep], b[keep]
+        total = size[a] + size[b]
+        need = overlap_needed(size[a], size[b])
+        keep = np.minimum(size[a], size[b]) >= need
+        a, b, far = a[keep], b[keep], (total - 2 * need)[keep]
+        keep = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= far
+        for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+            p, q = _root(parent, label[x]), _root(parent, label[y])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                a_out.append(int(node[x]))
+                b_out.append(int(node[y]))
+        if keep.any():
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            label = parent[label]
+        shift += 1
+
+
+def _presumed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forests of the pairs that may link, of rows sorted by (kind, token, i, j)."""
+    rest: pa.Table | None = None
+
+    def forests(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        kinds = table.column("kind").to_numpy()
+        for kind in np.unique(kinds):
+            part = table.filter(pa.array(kinds == kind))
+            key = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")], axis=1)
+            side = np.where(key[:, 1] == key[:, 2], 2, part.column("block").to_numpy() == key[:, 2])
+            yield _links_of(*_forest(key, np.arange(len(key)), part.column("node").to_numpy(), part.column("n_shingles").to_numpy(), side, _bytes_matrix(part.column("bits").combine_chunks())))
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("token", "i", "j", "node", "component", "n_shingles", "bitmap", "side")]
-        for token, i, j, *row in zip(*columns, strict=True):
-            if (token, i, j) != run:
-                yield from flushed()
-                held, run = [], (token, i, j)
-            held.append(tuple(row))
-    yield from flushed()
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("kind", "token", "i", "j")], axis=1)
+        last = np.flatnonzero((key != key[-1]).any(axis=1)) if len(key) else []
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield from forests(table.slice(0, cut))
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield from forests(rest)
 
 
 def linked(documents: DataFrame) -> DataFrame:
@@ -277,44 +319,26 @@ def linked(documents: DataFrame) -> DataFrame:
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = kept(texts.mapInArrow(_profiles, _PROFILE), "profiles")
-    nodes = kept(
-        profiles.filter("n_shingles > 0").groupBy("node").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")
-        ),
-        "nodes",
-    )
-    posted = nodes.select("node", F.size("prefix").alias("posts"), F.explode("prefix").alias("token"))
+    facts = F.first(F.struct("n_shingles", "prefix", "bitmaps")).alias("of")
+    nodes = kept(profiles.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), facts).select("node", "rep", "of.*"), "nodes")
+    posted = nodes.select("node", F.explode("prefix").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1")
-    lists = kept(posted.join(shared, "token"), "lists")
-
-    central = lists.groupBy("node").agg((F.count("*") / F.first("posts")).alias("central"))
-    stars = lists.join(central, "node").groupBy("token").agg(F.max(F.struct("central", "node"))["node"].alias("query"))
-    pairs = lists.join(stars, "token").filter("node <> query").select("query", F.col("node").alias("other")).distinct()
-    star_links = searched(_may_link(pairs, nodes), nodes, texts, "star")
-    found = components(star_links)
-
-    owned = lists.join(found, "node", "left").select("token", "node", "listed", F.coalesce("component", "node").alias("component"))
-    mixed_lists = owned.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
     blocks = F.ceil(F.col("listed") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    cross = (
-        owned.join(mixed_lists, "token")
-        .withColumns({"blocks": blocks, "mine": mine})
+    lists = (
+        posted.join(shared, "token").select("token", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "token", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "node", "component",
-            F.when(F.col("mine") > F.col("with"), 1).otherwise(0).alias("side"),
-        )
-        .join(nodes.select("node", "n_shingles", "bitmap"), "node")
-        .repartition("token", "i", "j")
-        .sortWithinPartitions("token", "i", "j")
-        .select("token", "i", "j", "node", "component", "n_shingles", "bitmap", "side")
-        .mapInArrow(_across, "a binary, b binary")
-        .select(F.greatest("a", "b").alias("query"), F.least("a", "b").alias("other"))
+        .select("token", "node", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    )
+    bitmaps = nodes.select("node", "n_shingles", F.explode("bitmaps").alias("b")).select("node", "n_shingles", "b.kind", "b.bits")
+    presumed = (
+        lists.join(bitmaps, "node")
+        .repartition("kind", "token", "i", "j").sortWithinPartitions("kind", "token", "i", "j")
+        .select("kind", "token", "i", "j", "block", "node", "n_shingles", "bits")
+        .mapInArrow(_presumed, "a long, b long")
         .distinct()
     )
-    cross_links = searched(cross, nodes, texts, "cross")
-    found = components(star_links.unionByName(cross_links))
+    links = searched(kept(components(presumed), "groups"), nodes, texts)
+    found = components(links)
 
     named = (
         nodes.join(found, "node", "left")
@@ -325,29 +349,6 @@ def linked(documents: DataFrame) -> DataFrame:
     return profiles.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and bitmaps leave a link possible."""
-    facts = nodes.select("node", "n_shingles", "bitmap")
-    q, o = facts.toDF("query", "q_n", "q_bits"), facts.toDF("other", "o_n", "o_bits")
-    total = F.col("q_n") + F.col("o_n")
-    need = F.ceil(SIMILAR * total / (100 + SIMILAR))
-    return (
-        pairs.join(q, "query").join(o, "other")
-        .filter((F.least("q_n", "o_n") >= need))
-        .mapInArrow(_near_bits, "query binary, other binary")
-    )
-
-
-def _near_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, _BITS) for c in ("q_bits", "o_bits")]
-        a, b = (batch.column(c).to_numpy() for c in ("q_n", "o_n"))
-        near = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= a + b - 2 * overlap_needed(a, b)
-        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("other")], names=["query", "other"]).filter(pa.array(near))
-
-
 def first_of_each(documents: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; all columns as they were.
 
