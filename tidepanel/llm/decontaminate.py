@@ -83,7 +83,7 @@ def phrase_matches(documents: DataFrame, ranked: DataFrame, index: DataFrame, sl
         term = ranked.filter(F.size("rare") >= k).select("phrase", F.size("rare").alias("n"), place["term"].alias("term"), place["offset"].alias("offset"))
         moved = index.join(_small(term), "term").withColumn("start", F.col("pos") - F.col("offset"))
         if slop:
-            moved = moved.withColumn("start", F.col("start") + F.explode(near)).distinct()
+            moved = moved.withColumn("by", F.explode(near)).withColumn("start", F.col("start") + F.col("by")).drop("by").distinct()
         return moved.filter("start >= 0").select("phrase", "doc", "start", "n")
 
     first = starts(1)
@@ -96,7 +96,7 @@ def phrase_matches(documents: DataFrame, ranked: DataFrame, index: DataFrame, sl
     local = documents.join(here, documents.doc.eqNullSafe(here.doc), "left_semi")
     wanted = open_.join(_small(rest), "phrase").withColumn("pos", F.col("start") + F.col("offset"))
     if slop:
-        wanted = wanted.withColumn("pos", F.col("pos") + F.explode(near))
+        wanted = wanted.withColumn("by", F.explode(near)).withColumn("pos", F.col("pos") + F.col("by")).drop("by")
     tokens = _tokens(local).withColumnRenamed("doc", "at")
     same = wanted.doc.eqNullSafe(tokens["at"]) & (wanted.pos == tokens.pos) & (wanted.term == tokens.term)
     held = wanted.join(tokens, same).groupBy("phrase", "doc", "start").agg(F.count_distinct("offset").alias("met"), F.first("n").alias("n"))

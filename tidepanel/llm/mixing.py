@@ -91,16 +91,16 @@ def mixture(documents: DataFrame, entropy: float = ENTROPY, epochs: float = EPOC
     whole = totals.filter("tokens > 0").agg(F.sum("tokens").cast("double").alias("n"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(a))).alias("z")).first()
     n, z = float(whole.n or 0), float(whole.z or 1)
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(a)) / F.lit(z)).otherwise(0.0)
-    quotas = totals.withColumn("weight", weight).select("_source", "weight", F.col("tokens").alias("source_tokens"), F.floor(F.round(F.col("weight") * F.lit(n), 3)).cast("long").alias("quota"))
+    quotas = totals.withColumn("weight", weight).select("_source", "weight", F.col("tokens").alias("_tokens"), F.floor(F.round(F.col("weight") * F.lit(n), 3)).cast("long").alias("_quota"))
 
     before = Window.partitionBy("_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    turns = sums.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("_source", "block", "before").join(quotas, "_source")
+    turns = sums.withColumn("_before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("_source", "block", "_before").join(quotas, "_source")
     within = Window.partitionBy("_source", "block").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slots = dealt.withColumns({"_upto": F.sum("n_tokens").over(within), "place": F.count("*").over(within)})
     drawn = (
         slots.join(turns, ["_source", "block"])
-        .withColumn("_whole", F.when(F.col("source_tokens") > 0, F.floor(F.col("quota") / F.col("source_tokens"))).otherwise(1))
-        .withColumn("_part", F.col("quota") - F.col("_whole") * F.col("source_tokens"))
-        .withColumn("copies", (F.col("_whole") + F.when((F.col("n_tokens") > 0) & (F.col("before") + F.col("_upto") <= F.col("_part")), 1).otherwise(0)).cast("long"))
+        .withColumn("_whole", F.when(F.col("_tokens") > 0, F.floor(F.col("_quota") / F.col("_tokens"))).otherwise(1))
+        .withColumn("_part", F.col("_quota") - F.col("_whole") * F.col("_tokens"))
+        .withColumn("copies", (F.col("_whole") + F.when((F.col("n_tokens") > 0) & (F.col("_before") + F.col("_upto") <= F.col("_part")), 1).otherwise(0)).cast("long"))
     )
     return drawn.filter("copies > 0").select(*own, "n_tokens", "weight", "copies", "block", "place")

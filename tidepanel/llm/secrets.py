@@ -190,7 +190,8 @@ def labelled(documents: DataFrame) -> list[tuple[Finding, int]]:
             columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int32())], names=["left", "value", "right", "label"])
 
-    sample = kept(sampled(documents.select("doc_id", "text").filter("text is not null"), TRAIN_DOCS).select("text"), "secret-sample")
+    ids = kept(sampled(documents.select("doc_id").filter("doc_id is not null"), TRAIN_DOCS), "secret-ids")
+    sample = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").select("text")
     rows_ = kept(sample.mapInArrow(rows, "left string, value string, right string, label int"), "findings")
     out = []
     for label in (0, 1):

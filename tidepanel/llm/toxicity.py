@@ -225,8 +225,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted({w for token in tokens_of(t) for w in windows_of(token) if len(w) > 2}) for t in texts_of(batch.column("text"))]
-            # near copies share the smallest hash of their long words, so they count once
-            print_ = [min((hash_of(w) for w in ws if len(w) > 8), default=0) for ws in found]
+            print_ = [_print(ws) for ws in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array(print_, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["toxic", "print", "words"]
             )
@@ -293,6 +292,12 @@ def _pieces(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (PIECE - 1), F.lit(1))), lambda i: F.substring(marked, i, F.lit(PIECE)))
 
 
+def _print(words: list[str]) -> int:
+    """The smallest hash of the long words, which near copies share, so that they count once; of few long words the hash of all."""
+    long = [w for w in words if len(w) > 8]
+    return min(map(hash_of, long)) if len(long) > 4 else hash_of(" ".join(words))
+
+
 def hash_of(word: str) -> int:
     """A 63-bit hash that every worker agrees on."""
     value = 1469598103934665603
@@ -322,13 +327,13 @@ def _margin_rows(gains: np.ndarray, offset: float) -> Callable:
     return rows
 
 
-def scored(documents: DataFrame, model: Model | None) -> DataFrame:
-    """``documents`` with ``toxic_score`` between 0 and 1, for every row and its whole text (NULL: empty).
+def scored(documents: DataFrame, model: Model | None, name: str = "toxic_score") -> DataFrame:
+    """``documents`` with a column ``name`` between 0 and 1, for every row and its whole text (NULL: empty).
 
     Without a model (no labels of both classes) every score is 0.  A column of that name is replaced.
     """
     if model is None:
-        return documents.withColumn("toxic_score", F.lit(0.0))
+        return documents.withColumn(name, F.lit(0.0))
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -339,10 +344,10 @@ def scored(documents: DataFrame, model: Model | None) -> DataFrame:
         for texts in parts:
             yield pd.Series(learnt.score(of([t or "" for t in texts])))
 
-    return documents.withColumn("toxic_score", score(F.col("text").cast("string")))
+    return documents.withColumn(name, score(F.col("text").cast("string")))
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below one half, with their columns as they were."""
-    judged = scored(documents, train(documents, labels))
-    return judged.filter("toxic_score < 0.5").select(documents.columns)
+    name = max(["toxic_score", *documents.columns], key=len) + "_"
+    return scored(documents, train(documents, labels), name).filter(F.col(name) < 0.5).select(documents.columns)
