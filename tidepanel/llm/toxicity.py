@@ -9,7 +9,7 @@ Training (documents outside the held-out fold, at most ``TRAIN_DOCS`` of them):
 1. Words with a piece of five letters that toxic documents hold far beyond chance are witnesses; words of clean
    documents are counterexamples.
 2. Landmarks are drawn from both; the Nyström map is ``K(x, landmarks) K(landmarks, landmarks)^-1/2``.
-3. A linear SVM is fitted to the mapped words, and again with the clean words that scored highest.
+3. A linear SVM is fitted to the mapped words, witnesses also with two letters put in, and again with the clean words that scored highest.
 4. A document's margin is that of its most toxic word.  A logistic curve over margins of whole training
    documents gives scores between 0 and 1.
 
@@ -38,7 +38,7 @@ WITNESSES = 512
 #: Letters of the pieces by which words are found to be witnesses.
 PIECE = 5
 COUNTEREXAMPLES = 4000
-DECAY = 0.6
+DECAY = 0.75
 #: The widest subsequence, from its first to its last letter.
 SPAN = 6
 #: Longer words are read through windows of this many letters, half overlapping.
@@ -272,9 +272,10 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
         return np.concatenate([np.concatenate(parts), np.ones((len(words), 1))], axis=1)
 
     def fitted(negatives: list[str]) -> tuple[np.ndarray, float]:
-        x = np.concatenate([mapped(toxic), mapped(negatives)])
-        y = np.repeat([1.0, -1.0], [len(toxic), len(negatives)])
-        weight = np.concatenate([mass / mass.sum(), np.full(len(negatives), 2 / len(negatives))])
+        bad_ = toxic + [_with_letters(w) for w in toxic]
+        x = np.concatenate([mapped(bad_), mapped(negatives)])
+        y = np.repeat([1.0, -1.0], [len(bad_), len(negatives)])
+        weight = np.concatenate([np.tile(mass / mass.sum() / 2, 2), np.full(len(negatives), 2 / len(negatives))])
         return _fold(landmarks, root, _svm(x, y, weight))
 
     gains, offset = fitted(clean)
@@ -292,6 +293,13 @@ def _pieces(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (PIECE - 1), F.lit(1))), lambda i: F.substring(marked, i, F.lit(PIECE)))
 
 
+def _with_letters(word: str) -> str:
+    """A word with two letters put in, at a third and two thirds of it, chosen by its hash."""
+    a, b = len(word) // 3, 2 * len(word) // 3
+    h = hash_of(word)
+    return word[:a] + chr(97 + h % 26) + word[a:b] + chr(97 + h // 26 % 26) + word[b:]
+
+
 def _print(words: list[str]) -> int:
     """The smallest hash of the long words, which near copies share, so that they count once; of few long words the hash of all."""
     long = [w for w in words if len(w) > 8]
