@@ -5,15 +5,16 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 from pyspark.sql import functions as F  # noqa: E402
 
 from tidepanel.session import build_session  # noqa: E402
 from tidepanel.sources.bundle import load_snapshot  # noqa: E402
-from tidepanel.sources.synthetic import generate_products  # noqa: E402
 from tidepanel.specs import CONFIGURED_SITES  # noqa: E402
 
+from panel_data import made_products  # noqa: E402
+
 TODAY = dt.date(2026, 10, 9)
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -56,7 +57,7 @@ def registry(spark):
 def snapshot(spark, registry, tmp_path_factory):
     """A published snapshot on disk: six products with year folders, and the registry."""
     root = tmp_path_factory.mktemp("snapshot")
-    for name, df in generate_products(registry, TODAY).items():
+    for name, df in made_products(registry, TODAY).items():
         df.withColumn("year", F.year("date_local")).repartition("year").write.partitionBy("year").parquet(f"{root}/data/{name}")
     (root / "metadata").mkdir()
     registry.toPandas().to_csv(root / "metadata" / "sites.csv", index=False)

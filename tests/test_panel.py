@@ -6,38 +6,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import TODAY, rows
-from tidepanel import coverage_by_year, daily_panel, explore, forecast_panel, generate_bundle, timeline, view
+from panel_data import made_bundle
+from tidepanel import coverage_by_year, daily_panel, explore, forecast_panel, timeline, view
 from tidepanel.operators.explore import key_figures, quality_counters
 from tidepanel.plans.panel import coverage, history_days
 from tidepanel.specs import PRODUCTS
 
 
-def test_generated_bundle_is_flagged_and_repeatable(spark, registry):
-    first, again = (generate_bundle(registry, TODAY, years=1, strict=False) for _ in range(2))
-    assert first.sites.select("site_id").distinct().count() == 16
+def test_synthetic_bundle_is_flagged(registry):
+    bundle = made_bundle(registry, TODAY)
     for name in PRODUCTS:
-        left, right = first.products[name], again.products[name].repartition(7)
-        assert left.where(~F.col("is_synthetic")).isEmpty()
-        assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
-    assert daily_panel(first, as_of=TODAY).where("source_kind <> 'synthetic_demo'").isEmpty()
-    assert first.catch.where("catch_weight_kg <= 0 or species is null").isEmpty()
-    assert first.ocean.count() == first.catch.count() == 16 * 365
-
-
-def test_generated_bundle_keeps_its_contract(registry):
-    assert generate_bundle(registry, TODAY, years=1).is_demo
-
-
-def test_generated_noise_has_the_asked_moments(registry):
-    bundle = generate_bundle(registry, TODAY, strict=False)
-    weather = bundle.products["weather_reanalysis"]
-    wet, rain = weather.agg(F.avg((F.col("precipitation_sum") > 0).cast("int")), F.avg(F.when(F.col("precipitation_sum") > 0, F.col("precipitation_sum")))).first()
-    assert wet == pytest.approx(0.4, abs=0.02)
-    assert rain == pytest.approx(8.0, abs=0.4)
-    mean, deviation = weather.agg(F.avg("pressure_msl_mean"), F.stddev("pressure_msl_mean")).first()
-    assert mean == pytest.approx(1010, abs=0.1) and deviation == pytest.approx(2, abs=0.1)
-    mean, deviation = bundle.catch.agg(F.avg("catch_weight_kg"), F.stddev("catch_weight_kg")).first()
-    assert mean == pytest.approx(160, abs=4) and deviation == pytest.approx(80, abs=5)
+        assert bundle.products[name].where(~F.col("is_synthetic")).isEmpty()
+    assert daily_panel(bundle, as_of=TODAY).where("source_kind <> 'synthetic_demo'").isEmpty()
+
+
+def test_synthetic_bundle_keeps_its_contract(registry):
+    assert made_bundle(registry, TODAY, strict=True).is_demo
 
 
 def test_prefers_reanalysis_and_excludes_today(bundle):

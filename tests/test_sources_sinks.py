@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pandas as pd
 import pytest
+from panel_data import made_bundle
 from pyspark.sql import functions as F
 
 from conftest import TODAY, rows
@@ -13,7 +14,6 @@ from tidepanel import ContractError, daily_panel, load_manifest, load_snapshot,
 from tidepanel.plans.panel import explorer, export_view, publish, timeline
 from tidepanel.sinks.export import export, write_panel
 from tidepanel.sources.scans import product_of_file, read_product, read_records, read_registry, route
-from tidepanel.sources.synthetic import generate_bundle
 from tidepanel.contracts.validate import validate_records
 from tidepanel.specs import PRODUCTS
 
@@ -104,7 +104,7 @@ def test_registry_extra_columns_ride_along(spark, snapshot, bundle):
 
 @pytest.fixture(scope="module")
 def three(spark, registry):
-    bundle = generate_bundle(registry, TODAY, years=1, strict=False)
+    bundle = made_bundle(registry, TODAY)
     picked = daily_panel(bundle, as_of=TODAY, sites=["galle"], dates=("2026-09-01", "2026-09-03"))
     holed = picked.withColumn("wave_height_max", F.when(F.col("date_local") != "2026-09-02", F.col("wave_height_max")))
     return spark.createDataFrame(holed.orderBy("date_local").collect(), holed.schema)
@@ -180,3 +180,21 @@ def test_explorer_over_a_bundle(bundle):
     assert explorer(bundle, "forecasts", ["galle"], dates, as_of=TODAY).count() == 4
     assert explorer(bundle, "past", [], dates, as_of=TODAY).isEmpty()
     assert explorer(bundle, "past", ["galle"], dates, severity=[], as_of=TODAY).isEmpty()
+
+
+def test_swapped_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("site_id,date_local,species\ngalle,2026-01-01,tuna\n")
+    (tmp_path / "b.csv").write_text("species,site_id,date_local\ntuna,galle,2026-01-01\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_records(spark, str(tmp_path)).collect()
+
+
+def test_short_rows_are_refused_whatever_is_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("site_id,date_local,species\ngalle,2026-01-01,tuna\ngalle,2026-01-02\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_records(spark, str(tmp_path)).select("site_id").collect()
+
+
+def test_registry_texts_without_value(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("site_id,name\ngalle,NA\n")
+    assert read_registry(spark, str(tmp_path)).first()["name"] is None

@@ -24,5 +24,4 @@ from tidepanel.plans.panel import daily_panel, forecast_panel, timeline, view
 from tidepanel.session import build_session
 from tidepanel.sinks.export import export, write_panel
 from tidepanel.sources.bundle import Bundle, assemble, load_manifest, load_snapshot
-from tidepanel.sources.synthetic import generate_bundle
 

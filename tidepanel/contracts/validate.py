@@ -21,8 +21,6 @@ from tidepanel.specs import (
 )
 
 Known = DataFrame | Sequence[str]
-RECORD_LIMIT = 200_000
-PROFILE_LIMIT = 1_000
 
 # Rule meanings, in the order in which a strict check reports them.
 RULE_TEXT = {
@@ -190,7 +188,7 @@ def validate_registry(sites: DataFrame, known: Known = CONFIGURED_SITES) -> Data
 
 
 def records_report(
-    df: DataFrame, kind: str, known: Known = CONFIGURED_SITES, limit: int | None = RECORD_LIMIT
+    df: DataFrame, kind: str, known: Known = CONFIGURED_SITES, limit: int | None = None
 ) -> DataFrame:
     """V21-V32 of catch or ocean records; ``limit=None`` lifts the row limit."""
     if kind == "catch":
@@ -213,7 +211,7 @@ def records_report(
 
 
 def validate_records(
-    df: DataFrame, kind: str, known: Known = CONFIGURED_SITES, limit: int | None = RECORD_LIMIT
+    df: DataFrame, kind: str, known: Known = CONFIGURED_SITES, limit: int | None = None
 ) -> DataFrame:
     """Typed catch or ocean records at their own grain."""
     raw = blank_to_null(df)
@@ -227,7 +225,7 @@ def validate_records(
     return raw.select(*typed, F.lit(False).alias("is_synthetic"))
 
 
-def profiles_report(df: DataFrame, limit: int | None = PROFILE_LIMIT) -> DataFrame:
+def profiles_report(df: DataFrame, limit: int | None = None) -> DataFrame:
     """V33-V34 of a species catalogue."""
     require_columns(df, "profiles", "V33", PROFILE_COLUMNS)
     parts = [
@@ -239,7 +237,7 @@ def profiles_report(df: DataFrame, limit: int | None = PROFILE_LIMIT) -> DataFra
     return union_reports(parts)
 
 
-def validate_profiles(df: DataFrame, limit: int | None = PROFILE_LIMIT) -> DataFrame:
+def validate_profiles(df: DataFrame, limit: int | None = None) -> DataFrame:
     raw = blank_to_null(df)
     enforce(profiles_report(raw, limit))
     return raw

@@ -15,7 +15,6 @@ from tidepanel.operators.select import on_keys
 from tidepanel.session import scratch_path
 from tidepanel.specs import DAY, PANEL_KEY, SITE, VINTAGE
 
-PAGE_SIZES = (25, 50, 100, 250)
 HEAP_ROWS = 100_000
 
 

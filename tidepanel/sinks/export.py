@@ -10,7 +10,6 @@ from tidepanel.contracts.validate import ContractError
 from tidepanel.operators.explore import sort_keys
 from tidepanel.specs import DAY
 
-EXPORT_LIMIT = 200_000
 SYNTHETIC_PREFIX = "SYNTHETIC_DEMO_"
 BOM = "﻿"
 FORMATS = ("csv", "json", "parquet")

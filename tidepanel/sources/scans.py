@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NumericType, StructType
 
+from tidepanel.functions.values import blank_to_null
 from tidepanel.specs import PRODUCTS
 
 _ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
@@ -108,16 +109,18 @@ def product_of_file(df: DataFrame, products: Iterable[str] = tuple(PRODUCTS)) ->
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header CSV with every cell as text; contracts decide what is a number or a date.
 
-    Quotes inside a quoted cell are doubled.  ``multi_line`` allows line breaks in cells
-    at the price of one task per file.
+    Every file of a folder must have the same header; one with other names or another order is refused,
+    as is a row with too few or too many cells, whichever columns are read.  Quotes inside a quoted cell
+    are doubled.  ``multi_line`` allows line breaks in cells at the price of one task per file.
     """
     reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
+    reader = reader.option("enforceSchema", False).option("columnPruning", False)
     return reader.option("multiLine", multi_line).csv(path)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Registry CSV; the contract turns its coordinate texts into numbers."""
-    return read_csv(spark, path)
+    """Registry CSV, texts that mean no value as NULL; the contract turns its coordinate texts into numbers."""
+    return blank_to_null(read_csv(spark, path))
 
 
 def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

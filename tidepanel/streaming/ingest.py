@@ -15,6 +15,7 @@ No watermark is used: a newer snapshot of an old day is normal and must count.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -105,12 +106,17 @@ class PanelStore:
         """Archive one batch of typed rows and refresh the periods it touches.
 
         The batch is read once per use with only the columns that use needs, which
-        costs less than caching whole rows.
+        costs less than caching whole rows.  A row with a null in its raw key is refused
+        with its batch: no period or earlier delivery could be found for it.
         """
         spark = rows.sparkSession
         rows = rows.withColumn(PART, F.date_format(DAY, PERIODS[self.period]))
+        blank = reduce(operator.or_, [F.col(k).isNull() for k in self.raw_key])
         # The calendar bounds the periods of a batch, whatever its number of rows.
-        periods = [r[PART] for r in rows.select(PART).distinct().collect()]
+        found = rows.groupBy(PART).agg(F.max(blank).alias("blank")).collect()
+        if any(r["blank"] for r in found):
+            raise ContractError("stream", "V2", f"batch {batch}")
+        periods = [r[PART] for r in found]
         if periods:
             self._archive(spark, rows, batch, periods)
             self._refresh(spark, batch, periods)

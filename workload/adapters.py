@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidepanel.functions.values import INFINITY
+from tidepanel.functions.dates import DayLike
 from tidepanel.operators.joins import join_domains
+from tidepanel.operators.select import before
 from tidepanel.specs import DAY, SITE, SNAPSHOT, VINTAGE, WEATHER_METRICS, ProductSpec
 
 TIE = ("record_key",)
+#: Fixed value: the first day that is no history in the event tables.
+EVENT_AS_OF = "2024-01-20"
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -141,8 +145,9 @@ def _event_days(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> Dat
     )
 
 
-def event_history_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_days(spark, sf_dir, ("view",)).where(F.col(DAY) < F.lit("2024-01-20").cast("date"))
+def event_history_days(spark: SparkSession, sf_dir: str, as_of: DayLike = EVENT_AS_OF) -> DataFrame:
+    """Days that count as history: those before ``as_of``."""
+    return before(_event_days(spark, sf_dir, ("view",)), as_of)
 
 
 def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +160,7 @@ FORECAST_KINDS = ("click", "signup", "purchase", "error")
 
 
 def event_forecast_days(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = FORECAST_KINDS) -> DataFrame:
-    return _event_days(spark, sf_dir, kinds).where(F.col(DAY) >= F.lit("2024-01-15").cast("date"))
+    return _event_days(spark, sf_dir, kinds)
 
 
 def _event_forecast(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], metric: str, domain: str) -> DataFrame:

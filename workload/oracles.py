@@ -82,7 +82,7 @@ EXPLORED = f"""{DAILY},
 explored as (
   select * from (select *, {DAILY_STATUS} as indicator_status from daily)
   where date_local between date '1996-01-01' and date '1999-12-31'
-    and indicator_status in ('Higher values', 'Elevated values')
+    and indicator_status in ('Higher values', 'Elevated values') and site_id % 3 = 1
 )"""
 
 CATCH = """
@@ -113,12 +113,12 @@ history as (
 fc_weather as (
   select user_id as site_id, cast(ts as date) as date_local,
     concat('v', cast(event_id % 3 as varchar)) as forecast_vintage, max(value) as wind_speed_10m_max
-  from events where event_type in ('click', 'signup') and cast(ts as date) >= date '2024-01-15' group by 1, 2, 3
+  from events where event_type in ('click', 'signup') group by 1, 2, 3
 ),
 fc_marine as (
   select user_id as site_id, cast(ts as date) as date_local,
     concat('v', cast(event_id % 3 as varchar)) as forecast_vintage, max(value) as wave_height_max
-  from events where event_type in ('purchase', 'error') and cast(ts as date) >= date '2024-01-15' group by 1, 2, 3
+  from events where event_type in ('purchase', 'error') group by 1, 2, 3
 ),
 forecasts as (
   select site_id, date_local, forecast_vintage, wind_speed_10m_max, wave_height_max,
@@ -403,8 +403,12 @@ ORACLES: dict[str, str] = {
     "horizons": f"""with {MARINE}
         select '2000-02-29' as end_day, '2000-01-31' as last_30_days, '1999-03-01' as last_12_months,
           cast(min(date_local) as varchar) as all_years from marine""",
-    "metadata_sheet": """select cast(s_suppkey as varchar) as site_id, 'name' as "column", s_name as value from supplier
-        union all select cast(s_suppkey as varchar), 'coastal_sector', cast(s_nationkey as varchar) from supplier""",
+    "metadata_sheet": """with r as (select cast(s_suppkey as varchar) as site_id, s_name as name, cast(s_nationkey as varchar) as coastal_sector,
+          cast(5.0::double + (s_suppkey % 70) / 10.0::double as varchar) as lat_land, cast(78.0::double + (s_suppkey % 50) / 10.0::double as varchar) as lon_land,
+          cast(5.0::double + (s_suppkey % 60) / 10.0::double as varchar) as lat_sea,
+          case when s_suppkey % 9 <> 0 then cast(78.0::double + (s_suppkey % 40) / 10.0::double as varchar) end as lon_sea from supplier)
+        select site_id, unnest(['name', 'coastal_sector', 'lat_land', 'lon_land', 'lat_sea', 'lon_sea']) as "column",
+          unnest([name, coastal_sector, lat_land, lon_land, lat_sea, lon_sea]) as value from r""",
     "named_site_days": f"""with {OCEAN} select site_id, count(*) as days, max(c_name) as name
         from ocean join customer on c_custkey = site_id group by 1""",
     "catch_semi": f"""with {EXPLORED},{CATCH}
@@ -415,7 +419,7 @@ ORACLES: dict[str, str] = {
     "species_share": f"with {CATCH} select site_id, species, sum(catch_weight_kg) as catch_weight_kg from catch group by 1, 2",
     "monthly_with_gaps": f"""with {CATCH},
         totals as (select site_id, species, cast(date_trunc('month', date_local) as date) as month,
-                     sum(catch_weight_kg) as catch_weight_kg from catch where catch_weight_kg >= 49 group by 1, 2, 3),
+                     sum(catch_weight_kg) as catch_weight_kg from catch group by 1, 2, 3),
         spine as (select site_id, species,
                     cast(unnest(generate_series(min(month), max(month), interval 1 month)) as date) as month
                   from totals group by 1, 2)
@@ -506,12 +510,7 @@ ORACLES: dict[str, str] = {
         select fish_category, 'ledger, unit 1' as source, false as is_synthetic, count(*) as records,
           sum(catch_weight_kg) as catch_weight_kg, cast(max(date_local) as varchar) as last_day
         from catch group by 1""",
-    "bundle_views": """select view, 'synthetic_demo' as source_kind, 'both' as domain_match,
-          cast(days * (select count(*) from supplier) as bigint) as records,
-          cast(days * (select count(*) from supplier) as bigint) as with_wave, first_day, last_day
-        from (values ('timeline', 372, '2025-10-09', '2026-10-15'), ('past', 365, '2025-10-09', '2026-10-08'),
-                     ('reanalysis', 360, '2025-10-09', '2026-10-03'), ('forecasts', 7, '2026-10-09', '2026-10-15'))
-             t(view, days, first_day, last_day)""",
+
     "snapshot_scan": f"""with {WEATHER},
         shards as (
           select 'scan' as reader, 'weather_reanalysis' as product, wind_speed_10m_max, date_local from weather where model = 'era5'
@@ -523,12 +522,7 @@ ORACLES: dict[str, str] = {
           cast(max(date_local) as varchar) as last_day
         from (select * from shards union all select * replace ('path' as reader) from shards where reader = 'scan')
         group by 1, 2""",
-    "synthetic_panel": """select product, cast(days * (select count(*) from supplier) as bigint) as records, first_day, last_day,
-          cast(0 as bigint) as out_of_range
-        from (values ('weather_reanalysis', 360, '2025-10-09', '2026-10-03'), ('marine_reanalysis', 360, '2025-10-09', '2026-10-03'),
-                     ('weather_recent', 7, '2026-10-02', '2026-10-08'), ('marine_recent', 7, '2026-10-02', '2026-10-08'),
-                     ('weather_forecasts', 7, '2026-10-09', '2026-10-15'), ('marine_forecasts', 7, '2026-10-09', '2026-10-15'))
-             t(product, days, first_day, last_day)""",
+
     "stream_equals_batch": BEST_WEATHER_OUT,
     "stream_repeats": f"""with {WEATHER}
         select (select count(*) from (select distinct site_id, date_local, model, snapshot_id from weather)) as accepted,

@@ -23,7 +23,6 @@ from tidepanel.plans.panel import VIEWS, view
 from tidepanel.session import pin_utc, scratch_path
 from tidepanel.sinks.export import export
 from tidepanel.sources.scans import product_of_file, read_manifest, read_product, read_records
-from tidepanel.sources.synthetic import generate_bundle, generate_products
 from tidepanel.specs import DAY, PANEL_KEY, RAW_KEY, SITE, SNAPSHOT, VINTAGE
 from tidepanel.streaming.ingest import PanelStore, shard_stream, stream_into
 from workload import adapters as a
@@ -264,7 +263,7 @@ def indicator_mix(spark, sf_dir):
 
 
 def _explored(spark, sf_dir) -> DataFrame:
-    keys = {"sites": range(25), "dates": ("1996-01-01", "1999-12-31")}
+    keys = {"sites": range(1, 25, 3), "dates": ("1996-01-01", "1999-12-31")}
     return ex.explore(daily(spark, sf_dir, **keys), **keys, severity=[HIGHER, ELEVATED])
 
 
@@ -315,8 +314,7 @@ def horizons(spark, sf_dir):
 
 @registered
 def metadata_sheet(spark, sf_dir):
-    registry = a.supplier_sites(spark, sf_dir).select(SITE, "name", "coastal_sector")
-    return ex.registry_sheet(registry)
+    return ex.registry_sheet(a.supplier_sites(spark, sf_dir))
 
 
 @registered
@@ -345,9 +343,8 @@ def species_share(spark, sf_dir):
 
 @registered
 def monthly_with_gaps(spark, sf_dir):
-    """Large catches by species and site, with the months that have none."""
-    large = a.catch(spark, sf_dir).where("catch_weight_kg >= 49")
-    return records.monthly_catch(large, [SITE, "species"])
+    """Catches by species and site, with the months that have none."""
+    return records.monthly_catch(a.catch(spark, sf_dir), [SITE, "species"])
 
 
 @registered
@@ -501,44 +498,6 @@ def snapshot_scan(spark, sf_dir):
     )
 
 
-@registered
-def synthetic_panel(spark, sf_dir):
-    """A generated panel with one site per supplier: volumes, bounds and day ranges."""
-    products = generate_products(a.supplier_sites(spark, sf_dir).select(SITE), dt.date(2026, 10, 9), years=1)
-    parts = [
-        df.agg(
-            F.count(F.lit(1)).alias("records"),
-            F.min(DAY).alias("first_day"),
-            F.max(DAY).alias("last_day"),
-            F.count_if(F.col(bounded) < 0).alias("out_of_range"),
-        ).select(F.lit(name).alias("product"), "*")
-        for name, df in products.items()
-        for bounded in (("wind_speed_10m_max",) if name.startswith("weather") else ("wave_height_max",))
-    ]
-    return reduce(DataFrame.union, parts)
-
-
-@registered
-def bundle_views(spark, sf_dir):
-    """The explorer's four views of a generated bundle with one site per supplier."""
-    today = dt.date(2026, 10, 9)
-    registry = a.supplier_sites(spark, sf_dir).withColumn("lon_sea", F.coalesce("lon_sea", "lon_land"))
-    bundle = generate_bundle(registry, today, years=1, strict=False)
-    parts = [
-        view(bundle, name, today)
-        .groupBy("source_kind", "domain_match")
-        .agg(
-            F.count(F.lit(1)).alias("records"),
-            F.count("wave_height_max").alias("with_wave"),
-            F.min(DAY).alias("first_day"),
-            F.max(DAY).alias("last_day"),
-        )
-        .select(F.lit(name).alias("view"), "*")
-        for name in VIEWS
-    ]
-    return reduce(DataFrame.union, parts)
-
-
 # -- streaming --------------------------------------------------------------------------------
 
 
