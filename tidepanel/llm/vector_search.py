@@ -122,27 +122,29 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     """The ``k`` nearest of ``vectors`` for each query, itself left out; ties to the smaller id."""
     order = np.argsort(vectors["vec_id"].to_numpy(), kind="stable")
-    ids, held, leaf = vectors["vec_id"].to_numpy()[order], _matrix(vectors["vector"])[order], vectors["leaf"].to_numpy()[order]
-    parts = []
-    for at in range(0, len(queries), 256):
-        some = queries.iloc[at : at + 256]
-        # one sum per pair in a fixed order of components, the same wherever the pair is computed
-        scores = np.zeros((len(some), len(ids)))
-        asked = _matrix(some["vector"])
-        for c in range(held.shape[1]):
-            scores += asked[:, c : c + 1] * held[None, :, c]
-        own = some["query_id"].to_numpy()
-        scores[own[:, None] == ids[None, :]] = -np.inf
-        most = min(k, len(ids))
-        if len(ids) > 4 * most:
-            edge = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
-        else:
-            edge = np.full(len(some), -np.inf)
-        for i in range(len(some)):
-            near = np.flatnonzero((scores[i] >= edge[i]) & (scores[i] > -np.inf))
-            near = near[np.argsort(-scores[i, near], kind="stable")][:most]
-            parts.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[near], "score": scores[i, near], "leaf": leaf[near]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "leaf": []})
+    ids, leaf = vectors["vec_id"].to_numpy()[order], vectors["leaf"].to_numpy()[order]
+    own, most = queries["query_id"].to_numpy(), min(k, len(ids))
+    parts: list[tuple[np.ndarray, ...]] = []
+    if most and len(own):
+        held, asked = _matrix(vectors["vector"])[order], _matrix(queries["vector"])
+        longest = np.sqrt((held**2).sum(axis=1)).max()
+        for at in range(0, len(own), 256):
+            some = asked[at : at + 256]
+            # a product to find those that may be among the nearest, whatever its rounding
+            rough = some @ held.T
+            rough[own[at : at + 256, None] == ids[None, :]] = -np.inf
+            edge = -np.partition(-rough, most - 1, axis=1)[:, most - 1] - 1e-9 * longest * np.sqrt((some**2).sum(axis=1))
+            q, v = np.nonzero((rough >= np.where(np.isfinite(edge), edge, -np.inf)[:, None]) & (rough > -np.inf))
+            # then one sum per pair in a fixed order of components, the same wherever the pair is computed
+            scores = np.zeros(len(q))
+            for c in range(held.shape[1]):
+                scores += some[q, c] * held[v, c]
+            ranked = np.lexsort((v, -scores, q))
+            q, v, scores = q[ranked], v[ranked], scores[ranked]
+            near = np.arange(len(q)) - np.searchsorted(q, q) < most
+            parts.append((own[at + q[near]], ids[v[near]], scores[near], leaf[v[near]]))
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[], [], [], []]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "leaf"), columns, strict=True)))
 
 
 _FOUND = "query_id long, vec_id long, score double, leaf int"
