@@ -107,6 +107,31 @@ def test_large_dimension_salts_hot_keys_and_stays_equal(spark, sites):
         assert large.exceptAll(plain).isEmpty() and plain.exceptAll(large).isEmpty()
 
 
+def test_rows_without_a_key_spread_over_salts(spark, sites):
+    days = spark.range(60).select(F.when(F.col("id") < 20, "a").alias("site_id"), "id")
+    joined = join_dimension(days, sites, "site_id", rows=1, hot_rows=10, salts=4)
+    assert joined.count() == 60 and joined.where("name is null").count() == 40
+
+
+def test_joins_refuse_a_repeated_key(spark, sites, weather_rows):
+    day = ("a", "2026-01-01", "weather_reanalysis", "h", True, 1.0)
+    one, two = weather_rows([day]), weather_rows([day, day])
+    twice = sites.unionByName(sites.limit(1))
+    history = frame(spark, HISTORY, ("a", "2026-01-01", 1.0, 1.0), ("a", "2026-01-01", 2.0, 1.0))
+    ahead = history.limit(0).withColumn("forecast_vintage", F.lit("h"))
+    for broken in (
+        join_domains(two, one),
+        join_domains(one, two),
+        join_domains(one, one, twice),
+        join_dimension(one, twice, "site_id"),
+        join_dimension(one, twice, "site_id", rows=1, hot_rows=1, salts=2),
+        map_status(sites, history, ahead, "2026-01-01"),
+        map_status(twice, history.limit(1), ahead, "2026-01-01"),
+    ):
+        with pytest.raises(Exception, match="more than once"):
+            broken.collect()
+
+
 def test_inner_loader_drops_marine_provenance(spark, sites):
     day = [("a", "2026-01-01"), ("q", "2026-01-01"), ("b", "2026-01-02")]
     weather = frame(spark, "site_id string, date_local string, model string, snapshot_id string", *[(*k, "era5", "h") for k in day])

@@ -15,7 +15,8 @@ from tidepanel.operators.select import on_keys
 from tidepanel.session import scratch_path
 from tidepanel.specs import DAY, PANEL_KEY, SITE, VINTAGE
 
-HEAP_ROWS = 100_000
+#: Rows that a task may hand to the one that cuts a near page.
+HEAP_ROWS = 2_000
 
 
 def explore(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.dates import as_day
-from tidepanel.operators.dimension import join_dimension
+from tidepanel.operators.dimension import join_dimension, one_per_key
 from tidepanel.specs import DAY, FORECAST_KEY, PANEL_KEY, SITE, SNAPSHOT, VINTAGE
 
 PROVENANCE = {
@@ -37,7 +37,7 @@ def join_domains(
 ) -> DataFrame:
     """Full outer join of two domains on site-day (and vintage), enriched by the registry.
 
-    Both sides must be unique on the key: :func:`best_records` makes them so, and the
+    Both sides must be unique on the key, or the query fails: :func:`best_records` makes them so, and the
     contract's raw-key rule does for forecasts.  Columns that both domains have beyond
     the key are prefixed by their domain.
     """
@@ -47,6 +47,7 @@ def join_domains(
         marine = marine.withColumnRenamed(SNAPSHOT, VINTAGE)
     shared = (set(weather.columns) & set(marine.columns)) - set(keys)
     left, right = domains
+    weather, marine = one_per_key(weather, keys, left), one_per_key(marine, keys, right)
     joined = _side(weather, left, keys, shared).join(_side(marine, right, keys, shared), keys, "full_outer")
     match = (
         F.when(F.col(f"_{left}") & F.col(f"_{right}"), F.lit("both"))
@@ -77,6 +78,7 @@ def _source_kind(domains: tuple[str, str], forecast: bool):
     return kind.when(recent[0] | recent[1], F.lit("provisional_recent")).otherwise(F.lit("reanalysis"))
 
 
+# The registry columns of the simple loader.
 LOADER_REGISTRY = (
     SITE,
     "name",
@@ -108,7 +110,8 @@ def on_passing_days(records: DataFrame, passing: DataFrame, unrestricted_if_empt
 
     With ``unrestricted_if_empty`` an empty ``passing`` frame restricts nothing: the
     records' own keys then stand in for the passing ones.  Both sides of the join are
-    plain shuffles, so the adaptive plan can split a site-day that owns most records.
+    plain shuffles, so the adaptive plan can split a site-day that owns most records; an
+    aggregate of the keys, which would spare the second scan, keeps it from that.
     """
     keys = passing.select(*PANEL_KEY)
     if unrestricted_if_empty:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.dates import DayLike, as_day
 from tidepanel.functions.status import MISSING, indicator_status, status_color
+from tidepanel.operators.dimension import one_per_key
 from tidepanel.operators.joins import calendar
 from tidepanel.operators.select import latest_vintage, on_keys, top_row, vintage_order
 from tidepanel.specs import DAY, PANEL_KEY, SITE
@@ -94,7 +95,7 @@ def map_status(
 ) -> DataFrame:
     """Every site's status and colour on each day from ``start`` to ``end``.
 
-    A day on which any site has a forecast is drawn from forecasts only.  The covered
+    The query fails when a site or a site's day comes twice.  A day on which any site has a forecast is drawn from forecasts only.  The covered
     days are at most the days asked for, which bounds the broadcast; ``forecast_days``
     is a cheaper source of them than the joined ``forecasts``.
     """
@@ -105,7 +106,8 @@ def map_status(
     chosen = latest_vintage(ahead).unionByName(past, allowMissingColumns=True)
     status = chosen.select(*PANEL_KEY, indicator_status(wave_limit, wind_limit).alias("status"))
     keep = [c for c in sites.columns if c != SITE]
-    points = calendar(sites, *window, keep=keep).join(status, list(PANEL_KEY), "left")
+    points = calendar(one_per_key(sites, [SITE], "the registry"), *window, keep=keep)
+    points = points.join(one_per_key(status, PANEL_KEY, "the map"), list(PANEL_KEY), "left")
     points = points.withColumn("status", F.coalesce("status", F.lit(MISSING)))
     return points.withColumn("color", status_color(F.col("status")))
 

@@ -12,8 +12,8 @@ from pyspark.sql import SparkSession
 def build_session(app: str = "tidepanel", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the plans are written for.
 
-    Shuffle partitions start high and AQE coalesces them, so one setting serves a
-    laptop and a large cluster.  Callers override any of it through ``conf``.
+    Shuffles start with many partitions and AQE joins small ones, so that none grows to tens of
+    GB on a large cluster; a ``local`` master keeps Spark's own number.  Callers override any of it through ``conf``.
     """
     settings = {
         "spark.sql.session.timeZone": "UTC",
@@ -24,6 +24,8 @@ def build_session(app: str = "tidepanel", master: str | None = None, **conf: str
         "spark.sql.parquet.filterPushdown": "true",
         "spark.ui.enabled": "false",
     }
+    if not (master or "").startswith("local"):
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "4096"
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     builder = SparkSession.builder.appName(app)
     if master:
