@@ -215,12 +215,12 @@ def _curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     """The model of the labelled documents outside the held-out fold; ``None`` if they aren't of both classes.
 
-    A document labelled in several ways counts as toxic.  NULL labels are passed over.
+    A document, or a text, labelled in several ways counts as toxic.  NULL labels are passed over.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = kept(sampled(known.filter(~held_out(F.col("doc_id"))), TRAIN_DOCS), "toxic-labels")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = kept(texts.join(F.broadcast(known), "doc_id").dropDuplicates(["text"]), "toxic-sample")
+    texts = kept(texts.join(F.broadcast(known), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +230,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
                 [batch.column("toxic"), pa.array(print_, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["toxic", "print", "words"]
             )
 
-    docs = texts.select("toxic", "text").mapInArrow(parsed, "toxic int, print long, words array<string>").groupBy("print", "toxic").agg(F.first("words").alias("words"))
+    docs = texts.select("toxic", "text").mapInArrow(parsed, "toxic int, print long, words array<string>").groupBy("print", "toxic").agg(F.min("words").alias("words"))
     docs = kept(docs, "toxic-words")
     totals = {r.toxic: r.n for r in docs.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
@@ -283,7 +283,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
         hard = _hardest(counted, gains, offset)
         clean = sorted({*clean, *hard})
         gains, offset = fitted(clean)
-    marked = texts.select("toxic", "text").mapInArrow(_margin_rows(gains, offset), "toxic int, margin double").toPandas()
+    marked = texts.select("toxic", "text").mapInArrow(_margin_rows(gains, offset), "toxic int, margin double").toPandas().sort_values(["toxic", "margin"])
     return Model(gains, offset, _curve(marked["margin"].to_numpy(), marked["toxic"].to_numpy()))
 
 
