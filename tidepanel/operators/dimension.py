@@ -55,9 +55,10 @@ def join_dimension(
     spread over ``salts`` tasks and only their dimension rows are repeated.  The hot keys are
     counted once and kept in the shared folder.  Rows without a key match nothing and are spread too.
     """
-    single = one_per_key(dimension, [on], "the dimension")
     if fits_broadcast(dimension, rows):
-        return df.join(F.broadcast(single), on, how)
+        # counted to be small: one task checks it, without a shuffle
+        return df.join(F.broadcast(one_per_key(dimension.coalesce(1), [on], "the dimension")), on, how)
+    single = one_per_key(dimension, [on], "the dimension")
     counted = hot_keys(df, on, hot_rows)
     path = scratch_path(df.sparkSession, "hot-keys")
     counted.write.parquet(path)
