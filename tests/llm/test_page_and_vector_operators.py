@@ -45,6 +45,13 @@ def test_wrapper_finds_the_free_container():
     assert html_wrappers.main_text(pages[0], wrapper) == ("free text " * 30 + "0")
 
 
+def test_wrapper_outweighs_tags():
+    pages = [f"<body><article><h3>Subscribe now</h3></article><div id=y><p>{'free text ' * 30}{i}</p></div><article class=tip>Read our tips</article></body>" for i in range(5)]
+    wrapper = html_wrappers.wrapper_of(pages)
+    assert wrapper["body/article/h3"] == wrapper["body/article tip"] == "boiler" and wrapper["body/div y"] == "main"
+    assert html_wrappers.main_text(pages[3], wrapper) == "free text " * 30 + "3"
+
+
 def test_folded_and_aligned():
     assert html_wrappers.folded(["<a", "=x", "<a", "=y", "<b", "=z"]) == ["+<a", "+=x", "<b", "=z"]
     assert html_wrappers.aligned(["<a", "=x", "<b"], ["<a", "=y", "<c", "<b"]) == ["<a", "#", "?<c", "<b"]
