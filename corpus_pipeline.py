@@ -9,6 +9,10 @@ from tidepanel.llm.common import kept
 from tidepanel.llm.queries import table
 
 
+#: Words of a shingle, and percent of similarity, of near duplicates.
+COPY_WIDTH, COPY_SIMILAR = 5, 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labels of the documents given."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -16,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays, the one with the smallest id."""
-    return shingle_join.first_of_each(docs)
+    return shingle_join.first_of_each(docs, COPY_WIDTH, COPY_SIMILAR)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Documents whose word shingles overlap: T-occurrence search over inverted lists, and linked components.
 
-Two documents link when the Jaccard similarity of their sets of distinct 3-word shingles is at
-least 0.9.  Texts with one and the same set are one node, so copies cost one row each; sets, like
+Two documents link when the Jaccard similarity of their sets of distinct word shingles is at
+least a threshold: ``WIDTH`` words and ``SIMILAR`` percent unless the caller says otherwise.  Texts with one and the same set are one node, so copies cost one row each; sets, like
 shingles, are told apart by 64-bit hashes.
 
-1. Every node posts the first ``n - ceil(0.9 n) + 1`` shingles of its set in hash order.  Two
+1. Every node posts the first ``n - ceil(t n) + 1`` shingles (t the threshold) of its set in hash order.  Two
    linked sets share one of them at least.
 2. Nodes that post the same shingle are compared in blocks by their sizes and by parity bitmaps of their
    sets, which bound the distance of a pair from below.  Pairs that may link are joined up inside the task, so
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,11 @@ from tidepanel.llm.common import byte_chunks, kept
 from tidepanel.llm.components import components
 from tidepanel.llm.hashing import mixed, word_bounds, word_hashes
 
+#: Words of a shingle.
 WIDTH = 3
 #: Similarity in percent: a link needs 100 * intersection >= SIMILAR * union.
 SIMILAR = 90
-#: Bits of the bitmaps of sets with less than four times as many shingles; larger sets have four times the bits, and so on.
+#: Bits of the bitmaps of small sets; larger sets have four times the bits, and so on (``width_class``).
 BITMAP_BITS = 1024
 #: Nodes of one shingle that one task compares with each other.
 BLOCK = 2048
@@ -41,29 +43,35 @@ BLOCK = 2048
 BROADCAST_IDS = 500_000
 #: Shingles of the sets that one bin holds, and of those turned into inverted lists at a time.
 BIN_TOKENS, SEARCH_TOKENS = 1_000_000, 400_000
+_FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def overlap_needed(a, b):
+def overlap_needed(a, b, similar: int = SIMILAR):
     """The least intersection of two linked sets of ``a`` and ``b`` shingles (whole numbers or arrays)."""
-    return -(-(SIMILAR * (a + b)) // (100 + SIMILAR))
+    return -(-(similar * (a + b)) // (100 + similar))
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-SIMILAR * n // 100) + 1 if n else 0
+def prefix_length(n: int, similar: int = SIMILAR) -> int:
+    return n - -(-similar * n // 100) + 1 if n else 0
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; texts of fewer words have one shingle, wordless ones none."""
+    factors = np.concatenate((_FACTORS, mixed(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)))[:width]
     for _, raw, offsets in byte_chunks(column):
         starts, ends, counts = word_bounds(raw, offsets)
         words = word_hashes(raw, starts, ends)
         grams = np.zeros(0, np.uint64)
-        if len(words) >= WIDTH:
-            grams = mixed(words[:-2] * np.uint64(0xD6E8FEB86659FD93) + words[1:-1] * np.uint64(0xA0761D6478BD642F) + words[2:] * np.uint64(0xE7037ED1A0B428DB))
+        if len(words) >= width:
+            last = len(words) - width + 1
+            grams = words[:last] * factors[0]
+            for i in range(1, width):
+                grams += words[i : i + last] * factors[i]
+            grams = mixed(grams)
         at = 0
         for count in counts:
-            if count >= WIDTH:
-                found = np.sort(grams[at : at + count - WIDTH + 1])
+            if count >= width:
+                found = np.sort(grams[at : at + count - width + 1])
                 yield found[np.concatenate(([True], found[1:] != found[:-1]))]
             elif count:
                 yield mixed(np.array([np.bitwise_xor.reduce(words[at : at + count] * np.arange(3, 3 + 2 * count, 2, dtype=np.uint64)) + np.uint64(count)]))
@@ -76,9 +84,13 @@ def node_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def width_class(n: int) -> int:
-    """0 for sets whose bitmap has ``BITMAP_BITS`` bits, 1 for four times as many, and so on."""
-    return max(0, (max(1, n // (4 * BITMAP_BITS)).bit_length() + 1) // 2 if n >= 4 * BITMAP_BITS else 0)
+def width_class(n: int, similar: int = SIMILAR) -> int:
+    """0 for sets whose bitmap has ``BITMAP_BITS`` bits, 1 for four times as many, and so on.
+
+    A bitmap tells unlike sets apart while the distance of linked ones is less than half its bits: four shingles a bit at 90 percent, two at 80.
+    """
+    full = BITMAP_BITS * max(1, 40 // max(10, 100 - similar))
+    return (n // full).bit_length() + 1 >> 1
 
 
 def bitmap_of(found: np.ndarray, kind: int) -> bytes:
@@ -87,24 +99,24 @@ def bitmap_of(found: np.ndarray, kind: int) -> bytes:
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 
-def bitmaps_of(found: np.ndarray) -> list[dict]:
-    """Bitmaps in the set's own width and in the width of the largest set that it may link with."""
-    kinds = {width_class(len(found)), width_class(100 * len(found) // SIMILAR)}
-    return [{"kind": k, "bits": bitmap_of(found, k)} for k in sorted(kinds)]
+def bitmaps_of(found: np.ndarray, similar: int = SIMILAR) -> list[dict]:
+    """Bitmaps in the set's own width, and in those up to the width of the largest set that it may link with."""
+    kinds = range(width_class(len(found), similar), width_class(100 * len(found) // similar, similar) + 1)
+    return [{"kind": k, "bits": bitmap_of(found, k)} for k in kinds]
 
 
 _PROFILE = "doc_id long, n_shingles long, node long, prefix array<long>, bitmaps array<struct<kind:int,bits:binary>>"
 _BITMAPS = pa.list_(pa.struct([("kind", pa.int32()), ("bits", pa.binary())]))
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profiles(batches: Iterator[pa.RecordBatch], width: int, similar: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, nodes, prefixes, bitmaps = [], [], [], []
-        for found in shingle_sets(batch.column("text")):
+        for found in shingle_sets(batch.column("text"), width):
             sizes.append(len(found))
             nodes.append(node_of(found) if len(found) else None)
-            prefixes.append(found[: prefix_length(len(found))].view(np.int64))
-            bitmaps.append(bitmaps_of(found) if len(found) else [])
+            prefixes.append(found[: prefix_length(len(found), similar)].view(np.int64))
+            bitmaps.append(bitmaps_of(found, similar) if len(found) else [])
         bounds = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
         flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -113,13 +125,13 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     def out(nodes: list[int], packed: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], names=["set", "shingles"])
 
     for batch in batches:
         nodes, packed, size = [], [], 0
-        for found in shingle_sets(batch.column("text")):
+        for found in shingle_sets(batch.column("text"), width):
             nodes.append(node_of(found))
             packed.append(found.tobytes())
             size += len(packed[-1])
@@ -183,7 +195,7 @@ def _root(parent: np.ndarray, i: int) -> int:
     return int(i)
 
 
-def connected(nodes: list[int], sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
+def connected(nodes: list[int], sets: list[np.ndarray], sides: list[int], similar: int = SIMILAR) -> list[tuple[int, int]]:
     """Links that connect what is linked among the nodes of one bin; ``sides`` 0 and 1 are searched against each other, 2 against all."""
     parent = np.arange(len(nodes))
     size = np.array([len(s) for s in sets])
@@ -192,11 +204,11 @@ def connected(nodes: list[int], sets: list[np.ndarray], sides: list[int]) -> lis
     for i in np.argsort(-size, kind="stable"):
         roots = np.array([_root(parent, j) for j in range(len(nodes))]) if len(out) else parent
         smaller = (size < size[i]) | ((size == size[i]) & (np.arange(len(nodes)) > i))
-        others = np.flatnonzero(smaller & (roots != roots[i]) & ((side != side[i]) | (side == 2)) & (size >= overlap_needed(size[i], size)))
+        others = np.flatnonzero(smaller & (roots != roots[i]) & ((side != side[i]) | (side == 2)) & (size >= overlap_needed(size[i], size, similar)))
         while len(others):
             some = others[: max(1, int(np.searchsorted(np.cumsum(size[others]), SEARCH_TOKENS)))]
             others = others[len(some) :]
-            found = divide_skip(sets[i], [sets[j] for j in some], overlap_needed(size[i], size[some]))
+            found = divide_skip(sets[i], [sets[j] for j in some], overlap_needed(size[i], size[some], similar))
             for j in some[found]:
                 out.append((nodes[i], nodes[j]))
                 x, y = _root(parent, i), _root(parent, j)
@@ -204,13 +216,13 @@ def connected(nodes: list[int], sets: list[np.ndarray], sides: list[int]) -> lis
     return out
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
     """Links within each run of rows of one bin (group, i, j)."""
     run, held = None, {}
 
     def found() -> pa.RecordBatch:
         sides = [2 if run[1] == run[2] else int(h[1] == run[2]) for h in held.values()]
-        links = connected(list(held), [h[0] for h in held.values()], sides) if len(held) > 1 else []
+        links = connected(list(held), [h[0] for h in held.values()], sides, similar) if len(held) > 1 else []
         return _links_of([x for x, _ in links], [y for _, y in links])
 
     for batch in batches:
@@ -225,7 +237,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found()
 
 
-def searched(groups: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def searched(groups: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
     """Links (a, b) that connect what is linked within each group of ``groups`` (node, component).
 
     Sets are made again from the texts of the nodes in ``groups`` alone and each travels once to every bin that needs it.
@@ -238,10 +250,10 @@ def searched(groups: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     needed = members.select("rep").distinct()
     if members.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
-    sets = texts.join(needed, texts.doc_id.eqNullSafe(needed.rep), "left_semi").select("text").mapInArrow(_sets, "set long, shingles binary")
+    sets = texts.join(needed, texts.doc_id.eqNullSafe(needed.rep), "left_semi").select("text").mapInArrow(partial(_sets, width=width), "set long, shingles binary")
     bins = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "group", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     rows = bins.join(sets, bins.node == sets["set"]).select("group", "i", "j", "node", "block", "shingles")
-    return kept(rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_search, "a long, b long").distinct(), "links")
+    return kept(rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(partial(_search, similar=similar), "a long, b long").distinct(), "links")
 
 
 def _bytes_matrix(column: pa.Array) -> np.ndarray:
@@ -249,7 +261,7 @@ def _bytes_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def _forest(key: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, side: np.ndarray, bits: np.ndarray) -> tuple[list, list]:
+def _forest(key: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, side: np.ndarray, bits: np.ndarray, similar: int) -> tuple[list, list]:
     """Pairs that may link and join up what may be linked, within runs of equal rows of ``key``; ``side`` 2 pairs with all, others across."""
     n = len(node)
     new = np.ones(n, bool)
@@ -267,7 +279,7 @@ def _forest(key: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarr
         keep = (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == 2)) & (node[a] != node[b])
         a, b = a[keep], b[keep]
         total = size[a] + size[b]
-        need = overlap_needed(size[a], size[b])
+        need = overlap_needed(size[a], size[b], similar)
         keep = np.minimum(size[a], size[b]) >= need
         a, b, far = a[keep], b[keep], (total - 2 * need)[keep]
         keep = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= far
@@ -284,7 +296,7 @@ def _forest(key: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarr
         shift += 1
 
 
-def _presumed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _presumed(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
     """Forests of the pairs that may link, of rows sorted by (kind, token, i, j)."""
     rest: pa.Table | None = None
 
@@ -294,7 +306,7 @@ def _presumed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = table.filter(pa.array(kinds == kind))
             key = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")], axis=1)
             side = np.where(key[:, 1] == key[:, 2], 2, part.column("block").to_numpy() == key[:, 2])
-            yield _links_of(*_forest(key, np.arange(len(key)), part.column("node").to_numpy(), part.column("n_shingles").to_numpy(), side, _bytes_matrix(part.column("bits").combine_chunks())))
+            yield _links_of(*_forest(key, np.arange(len(key)), part.column("node").to_numpy(), part.column("n_shingles").to_numpy(), side, _bytes_matrix(part.column("bits").combine_chunks()), similar))
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -309,16 +321,17 @@ def _presumed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from forests(rest)
 
 
-def linked(documents: DataFrame) -> DataFrame:
+def linked(documents: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
     """One row per document: its id, the size of its shingle set and its component.
 
+    Shingles have ``width`` words; a link needs a similarity of ``similar`` percent.
     ``component_id`` is the smallest id among the documents reachable by links, the document's own
     included.  NULL and wordless texts have no shingles and stand alone.  A row that repeats an id
     counts as a document of its own; rows without an id join components but never name one that has ids.
     Columns other than ``doc_id`` and ``text`` are not read.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = kept(texts.mapInArrow(_profiles, _PROFILE), "profiles")
+    profiles = kept(texts.mapInArrow(partial(_profiles, width=width, similar=similar), _PROFILE), "profiles")
     facts = F.first(F.struct("n_shingles", "prefix", "bitmaps")).alias("of")
     nodes = kept(profiles.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), facts).select("node", "rep", "of.*"), "nodes")
     posted = nodes.select("node", F.explode("prefix").alias("token"))
@@ -334,10 +347,10 @@ def linked(documents: DataFrame) -> DataFrame:
         lists.join(bitmaps, "node")
         .repartition("kind", "token", "i", "j").sortWithinPartitions("kind", "token", "i", "j")
         .select("kind", "token", "i", "j", "block", "node", "n_shingles", "bits")
-        .mapInArrow(_presumed, "a long, b long")
+        .mapInArrow(partial(_presumed, similar=similar), "a long, b long")
         .distinct()
     )
-    links = searched(kept(components(presumed), "groups"), nodes, texts)
+    links = searched(kept(components(presumed), "groups"), nodes, texts, width, similar)
     found = components(links)
 
     named = (
@@ -349,12 +362,12 @@ def linked(documents: DataFrame) -> DataFrame:
     return profiles.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def first_of_each(documents: DataFrame) -> DataFrame:
+def first_of_each(documents: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
     """One document of each component, the one with the smallest id; all columns as they were.
 
     Documents that link with nothing stay, wordless ones included.  Of rows that repeat an id one stays; rows
     without an id stay.
     """
-    chosen = linked(documents).filter("doc_id = component_id").select("doc_id").distinct()
+    chosen = linked(documents, width, similar).filter("doc_id = component_id").select("doc_id").distinct()
     rows = documents.filter("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rows.select(documents.columns).unionByName(documents.filter("doc_id is null"))
