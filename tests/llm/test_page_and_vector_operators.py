@@ -52,6 +52,21 @@ def test_wrapper_outweighs_tags():
     assert html_wrappers.main_text(pages[3], wrapper) == "free text " * 30 + "3"
 
 
+def test_every_page_and_token_takes_part(spark):
+    def page(kind, i):
+        menu = "".join(f"<div class=m{k}>Go to {k}</div>" for k in range(3))
+        return f"<body>{menu}<div id=t{kind}>Template {kind}</div><div id=a{kind}><p>{f'free {i} text ' * 40}</p></div></body>"
+
+    # A host with more templates and pages than a small sample holds, and pages that go on after thousands of symbols.
+    rows = [(i, f"http://h.example/{i}", page(i % 40, i)) for i in range(160)]
+    long = "".join(f"<div class=x{k % 37}>a</div><table class=z{k % 41}><tr><td>b</table>" for k in range(1500))
+    tail = "<div id=late><p>{0}</p></div>"
+    rows += [(1000 + i, f"http://l.example/{i}", f"<body><div id=y>{f'lead {i} ' * 300}</div>{long}{tail.format(f'late {i} ' * 400)}</body>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert all(got[i] == f"free {i} text " * 39 + f"free {i} text" for i in range(160))
+    assert all(got[1000 + i] == " ".join([f"lead {i}"] * 300) + "\n" + " ".join([f"late {i}"] * 400) for i in range(3))
+
+
 def test_folded_and_aligned():
     assert html_wrappers.folded(["<a", "=x", "<a", "=y", "<b", "=z"]) == ["+<a", "+=x", "<b", "=z"]
     assert html_wrappers.aligned(["<a", "=x", "<b"], ["<a", "=y", "<c", "<b"]) == ["<a", "#", "?<c", "<b"]
