@@ -14,7 +14,7 @@ def days_of(kind, today):
         return today, today + dt.timedelta(days=6)
     if kind == "recent":
         return today - dt.timedelta(days=7), today - dt.timedelta(days=1)
-    return today - dt.timedelta(days=3 * 365 + 1), today - dt.timedelta(days=8)
+    return today - dt.timedelta(days=3 * 365 + 1), today - dt.timedelta(days=6)
 
 
 def metric(name):

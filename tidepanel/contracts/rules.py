@@ -166,7 +166,9 @@ def count_missing_sites(sites: DataFrame, dataset: str, code: str, known: DataFr
     return absent.select(F.inline(F.array(_line(dataset, code, SITE, F.col("_n")))))
 
 
-def count_over_limit(df: DataFrame, dataset: str, code: str, limit: int) -> DataFrame:
-    """Rows beyond ``limit``; 0 when the frame is within it."""
+def count_over_limit(df: DataFrame, dataset: str, code: str, limit: int | None) -> DataFrame:
+    """Rows beyond ``limit``; 0 when the frame is within it or no limit is set."""
+    if limit is None:
+        return df.sparkSession.range(1).select(F.inline(F.array(_line(dataset, code, "*", F.lit(0).cast("long")))))
     over = df.agg(F.greatest(F.count(F.lit(1)) - F.lit(limit), F.lit(0)).alias("_n"))
     return over.select(F.inline(F.array(_line(dataset, code, "*", F.col("_n")))))

@@ -204,9 +204,8 @@ def records_report(
     parts = [
         *_row_and_site_parts(df, kind, rules, "V24", known),
         R.count_duplicates(df.withColumn(DAY, day(df, DAY)), kind, "V26", keys),
+        R.count_over_limit(df, kind, "V23", limit),
     ]
-    if limit is not None:
-        parts.append(R.count_over_limit(df, kind, "V23", limit))
     return union_reports(parts)
 
 
@@ -231,9 +230,8 @@ def profiles_report(df: DataFrame, limit: int | None = None) -> DataFrame:
     parts = [
         R.count_row_rules(df, "profiles", R.profile_rules()),
         R.count_duplicates(df, "profiles", "V34", ["species"]),
+        R.count_over_limit(df, "profiles", "V34", limit),
     ]
-    if limit is not None:
-        parts.append(R.count_over_limit(df, "profiles", "V34", limit))
     return union_reports(parts)
 
 

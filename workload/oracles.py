@@ -82,7 +82,7 @@ EXPLORED = f"""{DAILY},
 explored as (
   select * from (select *, {DAILY_STATUS} as indicator_status from daily)
   where date_local between date '1996-01-01' and date '1999-12-31'
-    and indicator_status in ('Higher values', 'Elevated values') and site_id % 3 = 1
+    and indicator_status in ('Higher values', 'Elevated values')
 )"""
 
 CATCH = """
@@ -376,7 +376,7 @@ ORACLES: dict[str, str] = {
     "indicator_mix": f"""with {DAILY} select {DAILY_STATUS} as status, source_kind, count(*) as site_days
         from daily group by 1, 2""",
     "explorer_filter": f"""with {EXPLORED} select site_id, {DAY}, source_kind, precipitation_sum, wind_speed_10m_max,
-          wave_height_max, indicator_status from explored""",
+          wave_height_max, indicator_status from explored where site_id in (3, 7, 12, 18, 24)""",
     "explorer_page": f"""with {DAILY} select site_id, {DAY}, domain_match, precipitation_sum
         from daily order by daily.site_id, daily.date_local limit 100 offset 200""",
     "explorer_deep_page": f"""with {DAILY} select site_id, {DAY}, domain_match, precipitation_sum

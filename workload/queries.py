@@ -19,7 +19,6 @@ from tidepanel.operators import coverage as cov
 from tidepanel.operators import explore as ex
 from tidepanel.operators import joins, records, select
 from tidepanel.operators import timeline as tl
-from tidepanel.plans.panel import VIEWS, view
 from tidepanel.session import pin_utc, scratch_path
 from tidepanel.sinks.export import export
 from tidepanel.sources.scans import product_of_file, read_manifest, read_product, read_records
@@ -34,6 +33,7 @@ REGISTERED: dict[str, Query] = {}
 EVENT_LIMIT = 10.0
 AS_OF = dt.date(2000, 1, 1)
 EVENT_START, EVENT_END = dt.date(2024, 1, 1), dt.date(2024, 1, 30)
+EXPLORED_SITES = (3, 7, 12, 18, 24)
 COVER_START, COVER_END = dt.date(1995, 3, 15), dt.date(2001, 12, 31)
 
 
@@ -262,15 +262,15 @@ def indicator_mix(spark, sf_dir):
     return rows.groupBy("status", "source_kind").agg(F.count(F.lit(1)).alias("site_days"))
 
 
-def _explored(spark, sf_dir) -> DataFrame:
-    keys = {"sites": range(1, 25, 3), "dates": ("1996-01-01", "1999-12-31")}
+def _explored(spark, sf_dir, sites=range(25)) -> DataFrame:
+    keys = {"sites": sites, "dates": ("1996-01-01", "1999-12-31")}
     return ex.explore(daily(spark, sf_dir, **keys), **keys, severity=[HIGHER, ELEVATED])
 
 
 @registered
 def explorer_filter(spark, sf_dir):
     wanted = [*PANEL_KEY, "source_kind", "precipitation_sum", "wind_speed_10m_max", "wave_height_max", "indicator_status", "absent"]
-    return ex.choose_columns(_explored(spark, sf_dir), wanted)
+    return ex.choose_columns(_explored(spark, sf_dir, EXPLORED_SITES), wanted)
 
 
 @registered
@@ -409,12 +409,12 @@ def catch_contract(spark, sf_dir):
 
 @registered
 def ocean_contract(spark, sf_dir):
-    return C.records_report(a.dirty_ocean(spark, sf_dir), "ocean", a.registered_customers(spark, sf_dir))
+    return C.records_report(a.dirty_ocean(spark, sf_dir), "ocean", a.registered_customers(spark, sf_dir), 200_000)
 
 
 @registered
 def profile_contract(spark, sf_dir):
-    return C.profiles_report(a.profiles(spark, sf_dir))
+    return C.profiles_report(a.profiles(spark, sf_dir), 1000)
 
 
 @registered
