@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, html_wrappers, mixing, pii, quality, secrets, shingle_join, toxicity, url_rules, vector_search
+from tidepanel.llm import decontaminate, html_wrappers, mixing, pii, quality, secrets, shingle_join, toxicity, turn_repair, url_rules, vector_search
 from tidepanel.llm.common import held_out
 
 # The URL rules (host, path, verdict), and the number of grades.
@@ -73,11 +73,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets, op2_ngram_jaccard, op3_quality, op4_decontamination, op5_url_filters,
-        op6_mixing, op7_nearest, op8_html, op9_toxicity, op10_pii,
+        op6_mixing, op7_nearest, op8_html, op9_toxicity, op10_pii, op13_turn_repair,
     )
 }
 
@@ -170,5 +174,60 @@ s AS (
 SELECT doc_id, source, n_tokens, weight, copies, block, place FROM c WHERE copies > 0
 """
 
+_OP13 = r"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') AS c,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), x -> ord(x)::BIGINT) AS k
+  FROM conversations
+), kinds AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, k), (a, b) ->
+    list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], (x, z) -> CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind
+  FROM base
+), broken AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM broken
+), faults AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE WHEN t = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) AS earlier
+  FROM placed
+), tally AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faults GROUP BY c
+), follows(state, role) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+adds(state, n, reached) AS (VALUES ('', 0, ''), ('', 1, 'u'), ('', 2, 'a'), ('s', 0, 's'), ('s', 1, 'u'), ('s', 2, 'a'), ('u', 0, 'u'), ('u', 1, 'a'), ('a', 0, 'a'), ('a', 1, 'u')),
+edits AS (
+  SELECT c, i, state, 'D' AS edit, state AS reached, 3 AS cost FROM faults, (VALUES (''), ('s'), ('u'), ('a')) s(state)
+  UNION ALL
+  SELECT c, i, state, CASE WHEN initial = f.role THEN 'K' ELSE 'R' END, f.role, CASE WHEN initial = f.role THEN 0 ELSE 2 END + (fault = 'truncated')::INT
+  FROM faults, follows f WHERE fault NOT IN ('blank', 'duplicate') AND (initial = f.role OR f.role <> 's')
+), walk(c, i, state, cost, audit) AS (
+  SELECT c, 0::BIGINT, reached, 2 * adds.n, repeat('I', adds.n) FROM tally, adds WHERE state = ''
+  UNION ALL
+  SELECT c, i, state, w.cost, w.audit FROM (
+    SELECT e.c, e.i, a.reached AS state, min({'cost': w.cost + e.cost + 2 * a.n, 'audit': w.audit || e.edit || repeat('I', a.n)}) AS w
+    FROM walk w JOIN edits e ON e.c = w.c AND e.i = w.i + 1 AND e.state = w.state JOIN adds a ON a.state = e.reached GROUP BY ALL
+  )
+), best AS (
+  SELECT c, w.cost, w.audit FROM (SELECT w.c, min({'cost': cost, 'audit': audit}) AS w FROM walk w JOIN tally t ON t.c = w.c AND t.n = w.i WHERE state IN ('', 'a') GROUP BY w.c)
+), steps AS (
+  SELECT c, p, edit, count(*) FILTER (edit <> 'I') OVER (PARTITION BY c ORDER BY p) AS i, count(*) FILTER (edit <> 'D') OVER (PARTITION BY c ORDER BY p) AS nth,
+    count(*) FILTER (edit <> 'D') OVER (PARTITION BY c) AS length
+  FROM (SELECT c, unnest(range(1, len(audit) + 1)) AS p, unnest(string_split(audit, '')) AS edit FROM best WHERE audit <> '')
+), lines AS (
+  SELECT s.c, string_agg(CASE WHEN edit = 'K' THEN f.role WHEN length % 2 = 1 AND nth = 1 THEN 'system' WHEN (nth + length) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY p) AS said
+  FROM steps s LEFT JOIN faults f ON f.c = s.c AND f.i = s.i WHERE edit <> 'D' GROUP BY s.c
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM base) LEFT JOIN tally USING (c) LEFT JOIN best USING (c) LEFT JOIN lines USING (c)
+"""
+
 #: SQL can't say the others: they rest on trained models or inferred wrappers.
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op4_decontamination": _OP4, "op5_url_filters": _OP5, "op6_mixing": _OP6}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op4_decontamination": _OP4, "op5_url_filters": _OP5, "op6_mixing": _OP6, "op13_turn_repair": _OP13}
