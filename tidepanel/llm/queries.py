@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidepanel.llm import decontaminate, html_wrappers, mixing, pii, quality, secrets, shingle_join, toxicity, turn_repair, url_rules, vector_search
+from tidepanel.llm import collocations, decontaminate, html_wrappers, mixing, pii, quality, secrets, shingle_join, toxicity, turn_repair, url_rules, vector_search
 from tidepanel.llm.common import held_out
 
-# The URL rules (host, path, verdict), and the number of grades.
+# The URL rules (host, path, verdict), the number of grades, and the phrases reported of a language.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 GRADES = 3
+TOP_PHRASES = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases, totals = collocations.mined(table(spark, sf_dir, "documents"))
+    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    first = phrases.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= TOP_PHRASES)
+    return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.report(table(spark, sf_dir, "conversations"))
 
@@ -81,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets, op2_ngram_jaccard, op3_quality, op4_decontamination, op5_url_filters,
-        op6_mixing, op7_nearest, op8_html, op9_toxicity, op10_pii, op13_turn_repair,
+        op6_mixing, op7_nearest, op8_html, op9_toxicity, op10_pii, op11_collocations, op13_turn_repair,
     )
 }
 
@@ -174,14 +183,43 @@ s AS (
 SELECT doc_id, source, n_tokens, weight, copies, block, place FROM c WHERE copies > 0
 """
 
+_OP11 = rf"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS s FROM documents)
+), u AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(w) AS w FROM p) GROUP BY ALL),
+b AS (SELECT lang, x, y, count(*) AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM p)) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+t AS (
+  SELECT lang, x, y, z, count(*) AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM p))
+  GROUP BY ALL HAVING count(*) >= {collocations.LEAST}
+), longer AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM t UNION ALL SELECT lang, y, z, f FROM t) GROUP BY ALL),
+two AS (
+  SELECT b.lang, b.x || ' ' || b.y AS phrase, b.f AS a, ux.f AS l, uy.f AS r, (1000000::HUGEINT * b.f * b.f) // (ux.f::HUGEINT * uy.f) AS score
+  FROM b JOIN u ux ON ux.lang = b.lang AND ux.w = b.x JOIN u uy ON uy.lang = b.lang AND uy.w = b.y LEFT JOIN longer g ON g.lang = b.lang AND g.x = b.x AND g.y = b.y
+  WHERE g.f IS NULL OR 100 * g.f < {collocations.COVERED} * b.f
+), cuts AS (
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, ux.f AS l1, yz.f AS r1, xy.f AS l2, uz.f AS r2,
+    (1000000::HUGEINT * t.f * t.f) // (ux.f::HUGEINT * yz.f) AS s1, (1000000::HUGEINT * t.f * t.f) // (xy.f::HUGEINT * uz.f) AS s2
+  FROM t JOIN u ux ON ux.lang = t.lang AND ux.w = t.x JOIN u uz ON uz.lang = t.lang AND uz.w = t.z
+    JOIN b xy ON xy.lang = t.lang AND xy.x = t.x AND xy.y = t.y JOIN b yz ON yz.lang = t.lang AND yz.x = t.y AND yz.y = t.z
+), every AS (
+  SELECT * FROM two
+  UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every) JOIN (SELECT lang, sum(f)::BIGINT AS n FROM u GROUP BY lang) USING (lang)
+WHERE rank <= {TOP_PHRASES}
+"""
+
 _OP13 = r"""
 WITH RECURSIVE base AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') AS c,
-    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), x -> ord(x)::BIGINT) AS k
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS k
   FROM conversations
 ), kinds AS (
-  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, k), (a, b) ->
-    list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], (x, z) -> CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, k), lambda a, b:
+    list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind
   FROM base
 ), broken AS (
   SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
@@ -230,4 +268,4 @@ FROM (SELECT DISTINCT conv_id, c FROM base) LEFT JOIN tally USING (c) LEFT JOIN
 """
 
 #: SQL can't say the others: they rest on trained models or inferred wrappers.
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op4_decontamination": _OP4, "op5_url_filters": _OP5, "op6_mixing": _OP6, "op13_turn_repair": _OP13}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op4_decontamination": _OP4, "op5_url_filters": _OP5, "op6_mixing": _OP6, "op11_collocations": _OP11, "op13_turn_repair": _OP13}
