@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidepanel.llm import collocations, decontaminate, html_wrappers, mixing, pii, quality, secrets, shingle_join, toxicity, turn_repair, url_rules, vector_search
+from tidepanel.llm import collocations, decontaminate, html_wrappers, language_id, mixing, pii, quality, secrets, shingle_join, toxicity, turn_repair, url_rules, vector_search
 from tidepanel.llm.common import held_out
 
 # The URL rules (host, path, verdict), the number of grades, and the phrases reported of a language.
@@ -82,6 +82,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language_id.predicted(documents, language_id.train(documents))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted", "cross_entropy")
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.report(table(spark, sf_dir, "conversations"))
 
@@ -90,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets, op2_ngram_jaccard, op3_quality, op4_decontamination, op5_url_filters,
-        op6_mixing, op7_nearest, op8_html, op9_toxicity, op10_pii, op11_collocations, op13_turn_repair,
+        op6_mixing, op7_nearest, op8_html, op9_toxicity, op10_pii, op11_collocations, op12_language_id, op13_turn_repair,
     )
 }
 
