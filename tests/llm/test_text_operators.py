@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -280,3 +281,29 @@ def test_agrees_with_sql(spark, name):
     con = connect(SF)
     assert compare(spark, con, SF, name) is None
     con.close()
+
+
+def test_bins_of_near_copies_cost_no_more_than_their_links():
+    """Thousands of near copies in one bin: once joined up, no set is searched again."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+
+    def seconds(n):
+        sets = [np.unique(np.append(base[1:], rng.integers(0, 1 << 62, 1).astype(np.uint64))) for _ in range(n)]
+        start = time.perf_counter()
+        assert len(shingle_join.connected(list(range(n)), sets, [2] * n)) == n - 1
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(5000) < 20 * max(0.05, seconds(1000))
+
+
+def test_bands_meet_in_the_smaller_one():
+    """Two sizes that may link have a bitmap for one band in common, and it fits both."""
+    for similar in (80, 90):
+        for n in [*range(1, 60), 300, 1000, 20_000]:
+            for m in {-(-similar * n // 100), n * 95 // 100 or 1, n}:
+                if min(n, m) < shingle_join.overlap_needed(n, m, similar):
+                    continue
+                kinds = [{b["kind"] for b in shingle_join.bitmaps_of(np.arange(k).astype(np.uint64) << np.uint64(20), similar)} for k in (n, m)]
+                assert shingle_join.band(min(n, m)) in kinds[0] & kinds[1]

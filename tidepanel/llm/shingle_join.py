@@ -6,19 +6,23 @@ shingles, are told apart by 64-bit hashes.
 
 1. Every node posts the first ``n - ceil(t n) + 1`` shingles (t the threshold) of its set in hash order.  Two
    linked sets share one of them at least.
-2. Nodes that post the same shingle are compared in blocks by their sizes and by parity bitmaps of their
-   sets, which bound the distance of a pair from below.  Pairs that may link are joined up inside the task, so
+2. Lists are split by bands of set sizes; a set also stands in lower bands that sets of it may link with lie in.
+   Nodes of one list are compared in blocks by their sizes and by parity bitmaps of their
+   sets, as wide as the band needs, which bound the distance of a pair from below.  Pairs that may link are joined up inside the task, so
    a block passes on a forest, never its pairs.  The components of all forests hold every link.
 3. Each such component is searched, cut into bins if it is large: its sets become inverted lists, every node
-   is a query, and DivideSkip heap-merges the short lists and binary-probes the long ones for
-   what the short ones left.  Nodes already connected are not searched against each other.
+   is a query over the bin's inverted lists, which are made once, and DivideSkip heap-merges the short lists and
+   binary-probes the long ones for what the short ones left.  Nodes already connected are not searched against each other.
 4. The links found give the components.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,14 +39,16 @@ from tidepanel.llm.hashing import mixed, word_bounds, word_hashes
 WIDTH = 3
 #: Similarity in percent: a link needs 100 * intersection >= SIMILAR * union.
 SIMILAR = 90
-#: Bits of the bitmaps of small sets; larger sets have four times the bits, and so on (``width_class``).
-BITMAP_BITS = 1024
+#: Bits of the bitmaps of small sets at least.
+BITMAP_BITS = 256
+#: Each band of set sizes reaches this many times as far as the one before.
+BAND = 1.5
 #: Nodes of one shingle that one task compares with each other.
 BLOCK = 2048
 #: At most so many 8-byte ids are broadcast; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 500_000
-#: Shingles of the sets that one bin holds, and of those turned into inverted lists at a time.
-BIN_TOKENS, SEARCH_TOKENS = 1_000_000, 400_000
+#: Shingles of the sets that one bin holds.
+BIN_TOKENS = 1_000_000
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -84,25 +90,37 @@ def node_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def width_class(n: int, similar: int = SIMILAR) -> int:
-    """0 for sets whose bitmap has ``BITMAP_BITS`` bits, 1 for four times as many, and so on.
+BOUNDS = [*dict.fromkeys(math.ceil(BAND**k) for k in range(80))]
+
+
+def band(n: int) -> int:
+    """The band of a set's size: ``BOUNDS[band(n)] <= n < BOUNDS[band(n) + 1]``."""
+    return bisect.bisect_right(BOUNDS, n) - 1
 
-    A bitmap tells unlike sets apart while the distance of linked ones is less than half its bits: four shingles a bit at 90 percent, two at 80.
-    """
-    full = BITMAP_BITS * max(1, 40 // max(10, 100 - similar))
-    return (n // full).bit_length() + 1 >> 1
 
+@functools.cache
+def bits_of_band(kind: int, similar: int = SIMILAR) -> int:
+    """Bits that tell unlike sets of this band's lists apart: what they differ in lies six deviations above what linked ones may."""
+    largest = (BOUNDS[kind + 1] - 1) * 100 // similar
+    far = 2 * largest - 2 * overlap_needed(largest, largest, similar)
+    bits = BITMAP_BITS
+    while bits / 2 - far < 3 * math.sqrt(bits):
+        bits *= 2
+    return bits
 
-def bitmap_of(found: np.ndarray, kind: int) -> bytes:
-    bits = BITMAP_BITS * 4**kind
+
+def bitmap_of(found: np.ndarray, bits: int) -> bytes:
     parity = np.bincount((found >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 
 def bitmaps_of(found: np.ndarray, similar: int = SIMILAR) -> list[dict]:
-    """Bitmaps in the set's own width, and in those up to the width of the largest set that it may link with."""
-    kinds = range(width_class(len(found), similar), width_class(100 * len(found) // similar, similar) + 1)
-    return [{"kind": k, "bits": bitmap_of(found, k)} for k in kinds]
+    """Bitmaps for the set's own band and for each band of smaller sets that it may link with.
+
+    Of two linked sets both have one for the band of the smaller one.
+    """
+    n = len(found)
+    return [{"kind": k, "bits": bitmap_of(found, bits_of_band(k, similar))} for k in range(band(-(-similar * n // 100)), band(n) + 1)]
 
 
 _PROFILE = "doc_id long, n_shingles long, node long, prefix array<long>, bitmaps array<struct<kind:int,bits:binary>>"
@@ -141,46 +159,57 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield out(nodes, packed)
 
 
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: np.ndarray) -> np.ndarray:
-    """Which candidate sets share ``need`` elements with ``query`` (all sets sorted, ``need`` at least 1).
+class InvertedLists:
+    """For each shingle of a bin the places of the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        flat = np.concatenate(sets)
+        owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.ones(len(flat), bool)
+        first[1:] = flat[1:] != flat[:-1]
+        self.owners = owners[order]
+        self.starts = np.append(np.flatnonzero(first), len(flat))
+        # The lists of each set, in the order of its shingles.
+        lists = np.empty(len(flat), np.int64)
+        lists[order] = np.cumsum(first) - 1
+        self.of = np.split(lists, np.cumsum([len(s) for s in sets])[:-1])
+
+    def search(self, query: int, wanted: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Which sets share ``need`` shingles with the set ``query``; ``wanted`` marks the sets that are asked for, ``need`` is at least 1.
+
+        With T the least need, the L longest lists are set aside; what occurs fewer than T - L times
+        on the others cannot reach T.  The short lists are merged through a heap, which skips sets
+        that aren't asked for, and the long ones are probed by binary search for what is left.
+        """
+        lists = self.of[query]
+        lengths = self.starts[lists + 1] - self.starts[lists]
+        least = int(need[wanted].min())
+        longest = max(0, min(least - 1, len(lists) - 1))
+        order = lists[np.argsort(lengths, kind="stable")]
+        short, long = order[: len(lists) - longest], order[len(lists) - longest :]
+        runs = [self.owners[self.starts[i] : self.starts[i + 1]] for i in short]
+        runs = [run[wanted[run]] for run in runs]
+        counts = np.zeros(len(self.of), np.int64)
+        for owner in heapq.merge(*[run.tolist() for run in runs if len(run)]):
+            counts[owner] += 1
+        left = np.flatnonzero(counts >= max(1, least - longest))
+        if not len(left):
+            return left
+        for i in long:
+            run = self.owners[self.starts[i] : self.starts[i + 1]]
+            place = np.searchsorted(run, left)
+            place[place == len(run)] = 0
+            counts[left] += run[place] == left
+        return left[counts[left] >= need[left]]
 
-    The elements of the query name inverted lists of candidates.  With T the least need, the L
-    longest lists are set aside; what occurs fewer than T - L times on the others cannot reach T.
-    The short lists are merged through a heap, and the long ones probed by binary search.
-    """
-    owners = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
-    flat = np.concatenate(candidates)
-    at = np.searchsorted(query, flat)
-    at[at == len(query)] = 0
-    hit = query[at] == flat
-    at, owners = at[hit], owners[hit]
-    keys = np.sort(at * len(candidates) + owners)
-    lists, owners = np.divmod(keys, len(candidates))
-    lengths = np.bincount(lists, minlength=len(query))
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
-    least = int(need.min())
-    longest = max(0, min(least - 1, len(query) - 1))
-    order = np.argsort(lengths, kind="stable")
-    short, long = order[: len(query) - longest], order[len(query) - longest :]
-    counts = np.zeros(len(candidates), np.int64)
-    merged = heapq.merge(*[owners[bounds[i] : bounds[i + 1]].tolist() for i in short if lengths[i]])
-    previous, run = -1, 0
-    for owner in merged:
-        if owner != previous:
-            if previous >= 0:
-                counts[previous] = run
-            previous, run = owner, 0
-        run += 1
-    if previous >= 0:
-        counts[previous] = run
-    left = np.flatnonzero(counts >= max(1, least - longest))
-    if len(left) and longest:
-        probes = (long[:, None] * len(candidates) + left[None, :]).ravel()
-        place = np.searchsorted(keys, probes)
-        place[place == len(keys)] = 0
-        counts[left] += (keys[place] == probes).reshape(longest, len(left)).sum(axis=0)
+
+def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: np.ndarray) -> np.ndarray:
+    """Which candidate sets share ``need`` elements with ``query`` (all sets sorted, ``need`` at least 1)."""
+    wanted = np.arange(len(candidates) + 1) > 0
     reached = np.zeros(len(candidates), bool)
-    reached[left] = counts[left] >= need[left]
+    reached[InvertedLists([query, *candidates]).search(0, wanted, np.append(1, need)) - 1] = True
     return reached
 
 
@@ -197,22 +226,23 @@ def _root(parent: np.ndarray, i: int) -> int:
 
 def connected(nodes: list[int], sets: list[np.ndarray], sides: list[int], similar: int = SIMILAR) -> list[tuple[int, int]]:
     """Links that connect what is linked among the nodes of one bin; ``sides`` 0 and 1 are searched against each other, 2 against all."""
-    parent = np.arange(len(nodes))
+    label = np.arange(len(nodes))
     size = np.array([len(s) for s in sets])
     side = np.array(sides)
+    lists = InvertedLists(sets)
+    later = np.ones(len(nodes), bool)
     out = []
     for i in np.argsort(-size, kind="stable"):
-        roots = np.array([_root(parent, j) for j in range(len(nodes))]) if len(out) else parent
-        smaller = (size < size[i]) | ((size == size[i]) & (np.arange(len(nodes)) > i))
-        others = np.flatnonzero(smaller & (roots != roots[i]) & ((side != side[i]) | (side == 2)) & (size >= overlap_needed(size[i], size, similar)))
-        while len(others):
-            some = others[: max(1, int(np.searchsorted(np.cumsum(size[others]), SEARCH_TOKENS)))]
-            others = others[len(some) :]
-            found = divide_skip(sets[i], [sets[j] for j in some], overlap_needed(size[i], size[some], similar))
-            for j in some[found]:
-                out.append((nodes[i], nodes[j]))
-                x, y = _root(parent, i), _root(parent, j)
-                parent[max(x, y)] = min(x, y)
+        # Sets searched before are at least as large and have found this one.
+        later[i] = False
+        need = overlap_needed(size[i], size, similar)
+        wanted = later & (label != label[i]) & ((side != side[i]) | (side == 2)) & (size >= need)
+        if not wanted.any():
+            continue
+        for j in lists.search(i, wanted, need):
+            out.append((nodes[i], nodes[j]))
+            if label[i] != label[j]:
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
     return out
 
 
@@ -334,17 +364,19 @@ def linked(documents: DataFrame, width: int = WIDTH, similar: int = SIMILAR) ->
     profiles = kept(texts.mapInArrow(partial(_profiles, width=width, similar=similar), _PROFILE), "profiles")
     facts = F.first(F.struct("n_shingles", "prefix", "bitmaps")).alias("of")
     nodes = kept(profiles.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), facts).select("node", "rep", "of.*"), "nodes")
-    posted = nodes.select("node", F.explode("prefix").alias("token"))
+    banded = nodes.select("node", "prefix", F.explode("bitmaps.kind").alias("kind"))
+    banded = banded.select("node", "kind", F.explode("prefix").alias("token"))
+    posted = banded.select("node", "kind", F.xxhash64("token", "kind").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1")
     blocks = F.ceil(F.col("listed") / BLOCK).cast("int")
     lists = (
-        posted.join(shared, "token").select("token", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+        posted.join(shared, "token").select("token", "kind", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", "node", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+        .select("token", "kind", "node", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     )
     bitmaps = nodes.select("node", "n_shingles", F.explode("bitmaps").alias("b")).select("node", "n_shingles", "b.kind", "b.bits")
     presumed = (
-        lists.join(bitmaps, "node")
+        lists.join(bitmaps, ["node", "kind"])
         .repartition("kind", "token", "i", "j").sortWithinPartitions("kind", "token", "i", "j")
         .select("kind", "token", "i", "j", "block", "node", "n_shingles", "bits")
         .mapInArrow(partial(_presumed, similar=similar), "a long, b long")
