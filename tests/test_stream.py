@@ -7,7 +7,8 @@ from conftest import TODAY, rows
 from tidepanel.operators.select import best_records
 from tidepanel.plans.panel import daily_from_stores, daily_panel, forecast_panel, forecasts_from_stores, past_products
 from tidepanel.sources.scans import read_product
-from tidepanel.streaming.ingest import PanelStore, ingest_domain
+from tidepanel.sinks.pointer import Folder
+from tidepanel.streaming.ingest import PanelStore, ingest_domain, pushed_lists
 
 COLUMNS = ("site_id", "date_local", "product", "model", "snapshot_id", "complete_core", "wave_height_max")
 
@@ -108,3 +109,102 @@ def test_stores_give_the_batch_panels(spark, bundle, snapshot, tmp_path):
     assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
     ahead = forecasts_from_stores(*stores(("forecasts",)), bundle.sites, bundle.revision)
     assert ahead.count() == 112 and set(ahead.columns) == set(forecast_panel(bundle).columns)
+
+
+def scanned(df):
+    return {path.split("/store/")[1].split("/")[0] for path in df.inputFiles()}
+
+
+def test_a_batch_reads_no_archived_rows(spark, bundle, tmp_path):
+    store = PanelStore(str(tmp_path / "store"))
+    typed = bundle.products["marine_recent"].where("date_local < '2026-10-06'")
+    store.absorb(typed, 0)
+    state = store.state(spark)
+    asked = store.unseen(store.hashed(spark.createDataFrame(typed.limit(5).collect(), typed.schema)), state, sorted(state["best"]))
+    assert scanned(asked) == {"keys"}
+    index = store.keys_of(spark, state, sorted(state["best"]))
+    assert scanned(index) == {"keys"} and set(index.columns) == {"k1", "k2", "part", "batch"}
+    assert scanned(store.read_best(spark)) == {"best"}
+    # What the archive holds doesn't matter to a later batch.
+    for file in (tmp_path / "store" / "raw" / "batch=0").rglob("*.parquet"):
+        file.write_bytes(b"not read")
+    store.absorb(bundle.products["marine_recent"], 1)
+    assert store.read_best(spark).count() == 112 and store.read_repeats(spark).count() == typed.count()
+
+
+def test_bloom_filters_spare_the_index(spark, bundle, tmp_path):
+    """Keys that the index doesn't hold, though within its range, make the scan read no row."""
+    store = PanelStore(str(tmp_path / "store"))
+    store.absorb(bundle.products["marine_reanalysis"].where("date_local >= '2026-06-01'"), 0)
+    state = store.state(spark)
+    index = store.keys_of(spark, state, sorted(state["keys"]))
+    some = sorted(r.k1 for r in index.collect())
+    between = [a + (b - a) // 2 for a, b in zip(some[10:200], some[11:201])]
+
+    def read_rows(values):
+        with pushed_lists(spark):
+            found = index.where(F.col("k1").isin(*values))
+            assert found.count() == len(set(values) & set(some))
+            plan = found._jdf.queryExecution().executedPlan()
+            found.collect()
+            while "Scan" not in plan.nodeName():
+                plan = plan.children().apply(0) if plan.children().size() else plan.executedPlan()
+            return plan.metrics().apply("numOutputRows").value()
+
+    assert read_rows(some[:5]) >= 5
+    assert read_rows(between) < len(some) / 2
+
+
+def test_jobs_of_a_batch(spark, bundle, tmp_path):
+    store = PanelStore(str(tmp_path / "store"))
+    typed = bundle.products["marine_recent"].cache()
+    typed.count()
+    store.absorb(typed.where("date_local < '2026-10-06'"), 0)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("batch", "one batch")
+    try:
+        store.absorb(typed.where("date_local >= '2026-10-06'"), 1)
+        jobs = len(tracker.getJobIdsForGroup("batch"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 20
+
+
+def test_readers_see_whole_batches_only(spark, bundle, tmp_path, monkeypatch):
+    """A batch that dies before its last step leaves the tables as they were, and runs again."""
+    store = PanelStore(str(tmp_path / "store"))
+    typed = bundle.products["marine_recent"]
+    newer = typed.withColumns({"snapshot_id": F.lit("2026-10-20"), "wave_height_max": F.col("wave_height_max") + 1})
+    store.absorb(typed, 0)
+    before = rows(store.read_best(spark), *COLUMNS)
+    opened = store.read_best(spark)
+    write = Folder.write
+
+    def lost(folder, name, value):
+        if name == "head":
+            raise OSError("lost")
+        write(folder, name, value)
+
+    monkeypatch.setattr(Folder, "write", lost)
+    with pytest.raises(OSError):
+        store.absorb(newer, 1)
+    assert rows(store.read_best(spark), *COLUMNS) == before and store.read_raw(spark).count() == 112
+    monkeypatch.undo()
+    store.absorb(newer, 1)
+    assert rows(opened, *COLUMNS) == before
+    assert store.read_best(spark).where("snapshot_id <> '2026-10-20'").isEmpty() and store.read_raw(spark).count() == 224
+    assert store.expire(spark) == 0
+    store.absorb(newer.withColumn("snapshot_id", F.lit("2026-10-21")), 2)
+    store.absorb(newer.withColumn("snapshot_id", F.lit("2026-10-22")), 3)
+    assert store.expire(spark) > 0 and store.read_best(spark).count() == 112
+
+
+def test_short_key_lists_are_merged(spark, bundle, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidepanel.streaming.ingest.KEY_RUNS", 2)
+    store = PanelStore(str(tmp_path / "store"))
+    typed = bundle.products["marine_recent"]
+    for batch in range(4):
+        store.absorb(typed.withColumn("snapshot_id", F.lit(f"2026-10-2{batch}")), batch)
+    assert max(map(len, store.state(spark)["keys"].values())) <= 2
+    store.absorb(typed.withColumn("snapshot_id", F.lit("2026-10-20")), 4)
+    assert store.read_raw(spark).count() == 4 * 112 and store.read_repeats(spark).where("accepted = 0").count() == 112

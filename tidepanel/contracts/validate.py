@@ -60,6 +60,7 @@ RULE_TEXT = {
     "V34": "profiles are not unique or too many",
     "V35": "export is over its row limit",
     "V-J": "join side has duplicate keys",
+    "S2": "pinned revision is not what was committed",
 }
 _ORDER = {code: position for position, code in enumerate(RULE_TEXT)}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.dates import DayLike, as_day
@@ -123,16 +123,15 @@ def metric_series(
     """(site, day, value, series) with the forecast line joined to the last past point.
 
     A site's last past value is repeated in its forecast series when it precedes the
-    first forecast day.  Both ends are aggregated per site before they meet.
+    first forecast day.  Both inputs are read once.  A site has one row a day in either, so the
+    calendar bounds what the window over a site holds.
     """
-    past = on_keys(history, sites, (start, end)).select(*PANEL_KEY, F.col(metric).alias("value"))
-    ahead = latest_vintage(on_keys(forecasts, sites)).select(*PANEL_KEY, F.col(metric).alias("value"))
-    present = past.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    last = present.groupBy(SITE).agg(F.max(DAY).alias(DAY), F.max_by("value", DAY).alias("value"))
-    first = on_keys(forecasts, sites).groupBy(SITE).agg(F.min(DAY).alias("_first"))
-    bridge = last.join(first, SITE).where(F.col(DAY) < F.col("_first")).drop("_first")
-    return (
-        past.withColumn("series", F.lit("history"))
-        .unionByName(ahead.withColumn("series", F.lit("forecast")))
-        .unionByName(bridge.withColumn("series", F.lit("forecast")))
-    )
+    past = on_keys(history, sites, (start, end)).select(*PANEL_KEY, F.col(metric).alias("value"), F.lit("history").alias("series"))
+    ahead = latest_vintage(on_keys(forecasts, sites)).select(*PANEL_KEY, F.col(metric).alias("value"), F.lit("forecast").alias("series"))
+    is_past = F.col("series") == "history"
+    present = is_past & F.col("value").isNotNull() & ~F.isnan("value")
+    of_site = Window.partitionBy(SITE)
+    ends = {"_last": F.max(F.when(present, F.col(DAY))).over(of_site), "_first": F.min(F.when(~is_past, F.col(DAY))).over(of_site)}
+    bridge = present & (F.col(DAY) == F.col("_last")) & (F.col("_last") < F.col("_first"))
+    series = F.when(bridge, F.array(F.lit("history"), F.lit("forecast"))).otherwise(F.array("series"))
+    return past.unionByName(ahead).withColumns(ends).select(*PANEL_KEY, "value", F.explode(series).alias("series"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidepanel.contracts.validate import ContractError
 from tidepanel.operators.explore import sort_keys
+from tidepanel.session import scratch_path
 from tidepanel.specs import DAY
 
 SYNTHETIC_PREFIX = "SYNTHETIC_DEMO_"
@@ -38,6 +39,12 @@ def is_synthetic(df: DataFrame) -> bool:
     return bool(row and row[0])
 
 
+def _copied(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "export")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_path(folder: str, name: str, fmt: str, synthetic: bool) -> str:
     return f"{folder.rstrip('/')}/{SYNTHETIC_PREFIX if synthetic else ''}{name}.{fmt}"
 
@@ -68,13 +75,18 @@ def export(
     CSV holds ISO days and a byte-order mark, JSON one record per line with ISO
     timestamps and explicit nulls, Parquet is Snappy.  ``limit`` refuses larger frames.
     ``ordered`` range-sorts the rows by key, so the files read in key order.
+
+    The frame's own plan runs once: what must be known before the write, and the sample that a
+    range sort draws, come from a copy in the shared folder.
     """
     fmt = fmt.lower()
     if fmt not in FORMATS:
         raise ValueError(f"unknown export format {fmt!r}")
+    keys = sort_keys(df) if ordered else []
+    if keys or limit is not None or synthetic is None:
+        df = _copied(df)
     check_limit(df, limit)
     flag = is_synthetic(df) if synthetic is None else synthetic
-    keys = sort_keys(df) if ordered else []
     rows = _uniform(df.orderBy(*keys) if keys else df, flag)
     path = export_path(folder, name, fmt, flag)
     if fmt == "csv":

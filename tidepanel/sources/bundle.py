@@ -81,7 +81,9 @@ def assemble(
     )
 
 
-def load_snapshot(spark: SparkSession, root: str, revision: str = "local_snapshot", strict: bool = True) -> Bundle:
+def load_snapshot(
+    spark: SparkSession, root: str, revision: str = "local_snapshot", strict: bool = True, known: Known = CONFIGURED_SITES
+) -> Bundle:
     """A downloaded snapshot: ``data/<product>/**.parquet`` and ``metadata/sites.csv``."""
     return assemble(
         read_snapshot(spark, root),
@@ -89,6 +91,7 @@ def load_snapshot(spark: SparkSession, root: str, revision: str = "local_snapsho
         revision,
         source=root,
         strict=strict,
+        known=known,
     )
 
 

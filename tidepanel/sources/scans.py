@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
+from pyarrow.fs import FileSystem
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import DataType, NumericType, StructType
 
 from tidepanel.functions.values import blank_to_null
@@ -28,25 +32,72 @@ def _reader(spark: SparkSession, merge: bool) -> DataFrameReader:
     )
 
 
-def _shards(spark: SparkSession, *paths: str) -> DataFrame:
-    """All shards of a product, columns merged by name."""
+def _shards(spark: SparkSession, *paths: str, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All shards of a product, columns merged by name; ``each`` is applied to every scan."""
     try:
-        return _reader(spark, True).parquet(*paths)
+        return each(_reader(spark, True).parquet(*paths))
     except (PySparkException, Py4JJavaError) as error:
         if "CANNOT_MERGE_SCHEMAS" not in str(error):
             raise
-        return _shards_of_mixed_types(spark, *paths)
+        return _shards_of_mixed_types(spark, *paths, each=each)
 
 
-def _shards_of_mixed_types(spark: SparkSession, *paths: str) -> DataFrame:
+def _tail() -> Column:
+    """The footer of a Parquet file with the eight bytes after it, which hold its length from the low byte on."""
+    size = "concat(" + ", ".join(f"hex(substring(content, cast(length as int) - {7 - i}, 1))" for i in (3, 2, 1, 0)) + ")"
+    return F.expr(f"substring(content, cast(length - 7 - cast(conv({size}, 16, 10) as long) as int), cast(conv({size}, 16, 10) as int) + 8)")
+
+
+def _schema_of(source: pa.NativeFile) -> str:
+    """A file's schema as Spark's JSON: as Spark wrote it, or translated from Parquet's own."""
+    schema = pq.read_schema(source)
+    written = (schema.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+    return written.decode() if written else from_arrow_schema(schema).json()
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, schemas = batch.column("path"), []
+        for path, tail in zip(paths.to_pylist(), batch.column("tail").to_pylist()):
+            if tail is not None:
+                schemas.append(_schema_of(pa.BufferReader(tail)))
+                continue
+            try:
+                files, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with files.open_input_file(name) as source:
+                    schemas.append(_schema_of(source))
+            except (OSError, pa.ArrowException):
+                schemas.append(None)
+        yield pa.RecordBatch.from_arrays([paths, pa.array(schemas, pa.string())], names=["path", "schema"])
+
+
+def schemas_of(spark: SparkSession, *paths: str) -> dict[str, list[str]]:
+    """Files of each distinct schema (Spark's JSON) below some paths, their footers read in tasks.
+
+    Two jobs at most, whatever the number of files: tasks open files themselves, and where they
+    can't, since only Spark's readers know the store, Spark reads those files and hands over their ends.
+    """
+    files = _reader(spark, False).format("binaryFile").load([*paths])
+    shape = "path string, schema string"
+    # Paths become rows; a file's bytes aren't read for them.
+    listed = files.select("path", F.lit(None).cast("binary").alias("tail")).mapInArrow(_footers, shape)
+    found = listed.groupBy("schema").agg(F.collect_list("path").alias("paths")).collect()
+    unread = [path for row in found if row["schema"] is None for path in row["paths"]]
+    groups = {row["schema"]: row["paths"] for row in found if row["schema"] is not None}
+    if unread:
+        ends = spark.read.format("binaryFile").load(unread).select("path", _tail().alias("tail")).mapInArrow(_footers, shape)
+        for row in ends.groupBy("schema").agg(F.collect_list("path").alias("paths")).collect():
+            groups.setdefault(row["schema"], []).extend(row["paths"])
+    return {schema: sorted(group) for schema, group in sorted(groups.items())}
+
+
+def _shards_of_mixed_types(spark: SparkSession, *paths: str, each: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Union of shards that hold a column in different types, one scan per distinct schema.
 
     Numbers meet as double and anything else as text, which the contract then reads.
     """
-    groups: dict[str, list[str]] = {}
-    for path in _reader(spark, False).parquet(*paths).inputFiles():
-        groups.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
-    frames = [_reader(spark, False).schema(StructType.fromJson(json.loads(key))).parquet(*files) for key, files in groups.items()]
+    groups = schemas_of(spark, *paths)
+    frames = [each(_reader(spark, False).schema(StructType.fromJson(json.loads(key))).parquet(*files)) for key, files in groups.items()]
     kinds: dict[str, set[DataType]] = {}
     for df in frames:
         for field in df.schema:
@@ -106,6 +157,11 @@ def product_of_file(df: DataFrame, products: Iterable[str] = tuple(PRODUCTS)) ->
     return df.withColumn("product", F.regexp_extract(F.col("_metadata.file_path"), f"/{_folder(products)}", 1))
 
 
+def read_routed(spark: SparkSession, root: str, products: Iterable[str] = tuple(PRODUCTS)) -> DataFrame:
+    """Every shard of a snapshot in one frame, its product told by its folder."""
+    return _shards(spark, f"{root}/data", each=lambda df: product_of_file(df, products))
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header CSV with every cell as text; contracts decide what is a number or a date.
 

@@ -3,24 +3,28 @@
 Layout below one shared folder::
 
     raw/batch=<n>/part=<period>/    accepted rows of each micro-batch
+    keys/batch=<n>/part=<period>/   128-bit hashes of their raw keys, sorted, with Bloom filters
     repeats/batch=<n>/              raw keys delivered more than once, with counts
-    best/part=<period>/             best record per site-day
+    best/batch=<n>/part=<period>/   best records of a period, as of the batch that last touched it
+    states/<n>, head                which of these folders are valid after batch n, and the newest n
     checkpoint/                     stream progress
 
-Every write of a batch overwrites that batch's own folder or recomputes whole periods
-(days or months) from the archive, so a batch that runs again after a failure leaves the
-same tables.
+A batch asks the keys of its own periods for repeats and merges its rows with the stored
+best records of these periods; archived rows are not read again.  It writes into folders of
+its own and becomes valid by one small text, ``head``, replaced in one step.  A reader takes
+every period as one batch left it; a batch that runs again after a failure starts from the
+state before it and leaves the same tables.
 No watermark is used: a newer snapshot of an old day is normal and must count.
 """
 
 from __future__ import annotations
 
 import operator
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,25 +41,33 @@ from tidepanel.contracts.validate import (
 from tidepanel.functions.dates import DayLike, as_day
 from tidepanel.operators.select import best_records, on_keys, top_row
 from tidepanel.session import pin_utc
+from tidepanel.sinks.pointer import Folder
 from tidepanel.sources.scans import product_of_file
 from tidepanel.specs import CONFIGURED_SITES, DAY, PRODUCTS, RAW_KEY, ProductSpec
 
 PART, BATCH, FILE = "part", "batch", "_file"
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 # The leading letter keeps partition values text when Spark infers their type.
 PERIODS = {"month": "'m'yyyy-MM", "day": "'d'yyyy-MM-dd"}
 
 
+#: Rows up to which a batch's keys are handed to the index scan as a list, and lists of keys a period may have.
+PUSHED_KEYS, KEY_RUNS = 500, 16
+
+
+@contextmanager
+def pushed_lists(spark: SparkSession) -> Iterator[None]:
+    """Lists of up to ``PUSHED_KEYS`` values reach Parquet scans as they are, not as a range."""
+    name = "spark.sql.parquet.pushdown.inFilterThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(PUSHED_KEYS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def by_period(df: DataFrame) -> DataFrame:
     """Periods gathered into few files; the adaptive plan splits one that is too large."""
     return df.hint("rebalance", F.col(PART))
@@ -63,9 +75,9 @@ def by_period(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class PanelStore:
-    """Archive and best-record table of one domain.
+    """Archive, key index and best-record table of one domain.
 
-    ``period`` is what a late record makes the store recompute: months suit a small
+    ``period`` is what a late record makes the store write anew: months suit a small
     panel, days one whose months are terabytes.
     """
 
@@ -83,77 +95,185 @@ class PanelStore:
     def best(self) -> str:
         return f"{self.root}/best"
 
+    @property
+    def keys(self) -> str:
+        return f"{self.root}/keys"
+
     @property
     def repeats(self) -> str:
         return f"{self.root}/repeats"
 
+    # -- reading ------------------------------------------------------------------------
+
+    def state(self, spark: SparkSession, before: int | None = None) -> dict:
+        """Valid folders, on request as they were before a batch."""
+        folder = Folder(spark, self.root)
+        state = folder.read("head")
+        while state is not None and before is not None and state["batch"] >= before:
+            state = None if state["before"] is None else folder.read(f"states/{state['before']}")
+        return state or {"batch": None, "best": {}, "keys": {}, "raw": [], "repeats": []}
+
+    def _valid(self, spark: SparkSession, table: str, folders: Sequence[str], schema: StructType | str | None = None) -> DataFrame | None:
+        """The valid folders of a table; with a schema no footer is read for it."""
+        if not folders:
+            return None
+        reader = spark.read.option("basePath", table)
+        return (reader if schema is None else reader.schema(schema)).parquet(*[f"{table}/{folder}" for folder in folders])
+
+    def _best_of(self, spark: SparkSession, state: dict, parts: Iterable[str]) -> DataFrame | None:
+        return self._valid(spark, self.best, [f"{BATCH}={state['best'][p]}/{PART}={p}" for p in parts if p in state["best"]])
+
+    def keys_of(self, spark: SparkSession, state: dict, parts: Iterable[str]) -> DataFrame | None:
+        """The key index of some periods."""
+        folders = [f"{BATCH}={b}/{PART}={p}" for p in parts for b in state["keys"].get(p, [])]
+        return self._valid(spark, self.keys, folders, f"k1 long, k2 long, {BATCH} int, {PART} string")
+
     def read_best(self, spark: SparkSession, dates: tuple[DayLike, DayLike] | None = None) -> DataFrame:
         """Best records, on request of a range of days, which also picks the folders to read."""
-        best = spark.read.parquet(self.best)
+        state = self.state(spark)
+        best = self._best_of(spark, state, sorted(state["best"]))
+        if best is None:
+            raise FileNotFoundError(f"no batch has reached {self.root}")
         if dates is not None:
             low, high = (F.date_format(as_day(day), PERIODS[self.period]) for day in dates)
             best = on_keys(best.where(F.col(PART).between(low, high)), dates=dates)
-        return best.drop(PART)
+        return best.drop(PART, BATCH)
 
     def read_raw(self, spark: SparkSession) -> DataFrame:
         """Every accepted row of every delivery."""
-        return spark.read.parquet(self.raw).drop(PART, BATCH)
+        raw = self._valid(spark, self.raw, [f"{BATCH}={b}" for b in self.state(spark)["raw"]])
+        if raw is None:
+            raise FileNotFoundError(f"no batch has reached {self.root}")
+        return raw.drop(PART, BATCH)
 
     def read_repeats(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.repeats)
+        """Raw keys that came more than once in or after a batch: copies in it, and how many of them were accepted."""
+        found = self._valid(spark, self.repeats, [f"{BATCH}={b}" for b in self.state(spark)["repeats"]])
+        if found is not None:
+            return found
+        counts = [F.lit(0).cast("long").alias("copies"), F.lit(0).alias("accepted"), F.lit(0).alias(BATCH)]
+        return self.read_raw(spark).select(*self.raw_key, *counts).where(F.lit(False))
+
+    # -- a batch ------------------------------------------------------------------------
 
     def absorb(self, rows: DataFrame, batch: int) -> None:
         """Archive one batch of typed rows and refresh the periods it touches.
 
-        The batch is read once per use with only the columns that use needs, which
-        costs less than caching whole rows.  A row with a null in its raw key is refused
-        with its batch: no period or earlier delivery could be found for it.
+        A row with a null in its raw key is refused with its batch: no period or earlier
+        delivery could be found for it.
         """
         spark = rows.sparkSession
         rows = rows.withColumn(PART, F.date_format(DAY, PERIODS[self.period]))
         blank = reduce(operator.or_, [F.col(k).isNull() for k in self.raw_key])
         # The calendar bounds the periods of a batch, whatever its number of rows.
-        found = rows.groupBy(PART).agg(F.max(blank).alias("blank")).collect()
-        if any(r["blank"] for r in found):
+        found = rows.agg(F.max(blank).alias("blank"), F.collect_set(PART).alias("parts"), F.count(F.lit(1)).alias("rows")).first()
+        if found["blank"]:
             raise ContractError("stream", "V2", f"batch {batch}")
-        periods = [r[PART] for r in found]
-        if periods:
-            self._archive(spark, rows, batch, periods)
-            self._refresh(spark, batch, periods)
-
-    def _archive(self, spark: SparkSession, rows: DataFrame, batch: int, periods: list[str]) -> None:
+        if not found["rows"]:
+            return
+        state, parts = self.state(spark, batch), sorted(found["parts"])
+        counts = self._archive(spark, rows, batch, state, parts, found["rows"])
+        state = {**state, "before": state["batch"], "batch": batch}
+        if counts["repeated"]:
+            self._list_repeats(spark, rows, batch)
+            state["repeats"] = [*state["repeats"], batch]
+        if counts["accepted"]:
+            touched = self._valid(spark, self.raw, [f"{BATCH}={batch}"]).drop(BATCH)
+            state["keys"] = self._index(spark, touched, batch, state, parts)
+            state["best"] = self._refresh(spark, touched, batch, state, parts)
+            state["raw"] = [*state["raw"], batch]
+        folder = Folder(spark, self.root)
+        folder.write(f"states/{batch}", state)
+        folder.write("head", state)
+
+    def hashed(self, rows: DataFrame) -> DataFrame:
+        """Rows with the two halves of their raw key's 128-bit hash."""
+        return rows.withColumns({"k1": F.xxhash64(*self.raw_key), "k2": F.xxhash64(F.lit(1), *self.raw_key)})
+
+    def unseen(self, rows: DataFrame, state: dict, parts: Sequence[str], few: Sequence[int] | None = None) -> DataFrame:
+        """Hashed rows whose raw key is in no earlier batch.
+
+        ``few``: the first halves of all keys of a small batch.  They reach the scan of the
+        index, whose Bloom filters then tell which files need to be opened.
+        """
+        known = self.keys_of(rows.sparkSession, state, parts)
+        if known is None:
+            return rows
+        if few is not None:
+            known = known.where(F.col("k1").isin(*few))
+        return rows.join(known.select("k1", "k2"), ["k1", "k2"], "left_anti")
+
+    def _archive(self, spark: SparkSession, rows: DataFrame, batch: int, state: dict, parts: Sequence[str], size: int) -> dict:
+        """Write the first row of each raw key that no earlier batch brought."""
         keys = [*self.raw_key]
-        archived = _read(spark, self.raw)
         rest = [c for c in rows.columns if c not in keys]
-        accepted = top_row(rows, keys, [F.xxhash64(*rest)])
-        copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-        if archived is None:
-            repeats = copies.withColumn("accepted", F.lit(1))
-        else:
-            earlier = archived.where((F.col(BATCH) < batch) & F.col(PART).isin(periods)).select(*keys)
-            accepted = accepted.join(earlier, keys, "left_anti")
-            seen = earlier.withColumn("_seen", F.lit(1))
-            repeats = copies.join(seen, keys, "left").withColumn("accepted", F.when(F.col("_seen").isNull(), 1).otherwise(0))
-            repeats = repeats.drop("_seen")
-        repeats = repeats.where("copies > accepted")
-        if self.strict and not repeats.isEmpty():
+        # Of equal keys one row stays; each task sends one for a key that owns most rows.  The rows
+        # are then dealt by the hashes that the index is joined on.
+        one = top_row(self.hashed(rows), ["k1", "k2"], [F.xxhash64(*rest)])
+        few = None
+        if size <= PUSHED_KEYS and state["keys"]:
+            few = [r["k1"] for r in self.hashed(rows).select("k1").distinct().collect()]
+        with pushed_lists(spark):
+            accepted = self.unseen(one, state, parts, few)
+            path = f"{self.raw}/{BATCH}={batch}"
+            by_period(accepted.select(rows.columns)).write.mode("overwrite").partitionBy(PART).parquet(path)
+        # Footers alone tell the number of rows.
+        written = spark.read.schema(rows.schema).parquet(path).count()
+        repeated = size > written
+        if self.strict and repeated:
+            Folder(spark, self.root).delete(f"raw/{BATCH}={batch}")
             raise ContractError("stream", "V6", f"batch {batch}")
-        repeats.write.mode("overwrite").parquet(f"{self.repeats}/{BATCH}={batch}")
-        by_period(accepted).write.mode("overwrite").partitionBy(PART).parquet(f"{self.raw}/{BATCH}={batch}")
+        return {"accepted": written, "repeated": repeated}
 
-    def _refresh(self, spark: SparkSession, batch: int, periods: list[str]) -> None:
-        """Recompute whole touched periods from the archive; the others stay as they are."""
-        touched = _read(spark, self.raw)
-        if touched is None:
-            return
-        touched = touched.where((F.col(BATCH) <= batch) & F.col(PART).isin(periods)).drop(BATCH)
+    def _list_repeats(self, spark: SparkSession, rows: DataFrame, batch: int) -> None:
+        keys = [*self.raw_key]
+        copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+        taken = spark.read.schema(rows.schema).parquet(f"{self.raw}/{BATCH}={batch}").select(*keys, F.lit(1).alias("_taken"))
+        repeats = copies.join(taken, keys, "left").withColumn("accepted", F.coalesce("_taken", F.lit(0))).drop("_taken")
+        repeats.where("copies > accepted").write.mode("overwrite").parquet(f"{self.repeats}/{BATCH}={batch}")
+
+    def _index(self, spark: SparkSession, touched: DataFrame, batch: int, state: dict, parts: Sequence[str]) -> dict:
+        """Add a batch's keys; a period with many short lists of keys has them merged into one."""
+        new = self.hashed(touched).select(PART, "k1", "k2")
+        merged = [p for p in parts if len(state["keys"].get(p, [])) >= KEY_RUNS]
+        if merged:
+            new = new.unionByName(self.keys_of(spark, state, merged).select(PART, "k1", "k2"))
         (
-            by_period(best_records(touched, self.tie_breakers))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(PART)
-            .parquet(self.best)
+            by_period(new).sortWithinPartitions(PART, "k1").write.mode("overwrite").partitionBy(PART)
+            .option("parquet.bloom.filter.enabled#k1", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+            .parquet(f"{self.keys}/{BATCH}={batch}")
         )
+        return {**state["keys"], **{p: [batch] if p in merged else [*state["keys"].get(p, []), batch] for p in parts}}
+
+    def _refresh(self, spark: SparkSession, touched: DataFrame, batch: int, state: dict, parts: Sequence[str]) -> dict:
+        """Best of the stored best records and the new rows; other periods stay as they are."""
+        stored = self._best_of(spark, state, parts)
+        if stored is not None:
+            touched = stored.drop(BATCH).unionByName(touched, allowMissingColumns=True)
+        best = by_period(best_records(touched, self.tie_breakers))
+        best.write.mode("overwrite").partitionBy(PART).parquet(f"{self.best}/{BATCH}={batch}")
+        return {**state["best"], **dict.fromkeys(parts, batch)}
+
+    def expire(self, spark: SparkSession, keep: int = 2) -> int:
+        """Delete folders that the last ``keep`` states do not name; returns their number.
+
+        At least the newest state and the one before it must stay: a batch may run again.
+        """
+        folder, states = Folder(spark, self.root), []
+        state = folder.read("head")
+        while state is not None and len(states) < max(2, keep):
+            states.append(state)
+            state = None if state["before"] is None else folder.read(f"states/{state['before']}")
+        named = {("best", b, p) for s in states for p, b in s["best"].items()}
+        named |= {("keys", b, p) for s in states for p, runs in s["keys"].items() for b in runs}
+        gone = 0
+        for table in ("best", "keys"):
+            for run in folder.names(table):
+                for part in folder.names(f"{table}/{run}"):
+                    if part.startswith(f"{PART}=") and (table, int(run.removeprefix(f"{BATCH}=")), part.removeprefix(f"{PART}=")) not in named:
+                        folder.delete(f"{table}/{run}/{part}")
+                        gone += 1
+        return gone
 
 
 def stream_into(

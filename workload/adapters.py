@@ -10,7 +10,7 @@ from tidepanel.functions.values import INFINITY
 from tidepanel.functions.dates import DayLike
 from tidepanel.operators.joins import join_domains
 from tidepanel.operators.select import before
-from tidepanel.specs import DAY, SITE, SNAPSHOT, VINTAGE, WEATHER_METRICS, ProductSpec
+from tidepanel.specs import DAY, PRODUCTS, SITE, SNAPSHOT, VINTAGE, WEATHER_METRICS, ProductSpec
 
 TIE = ("record_key",)
 #: Fixed value: the first day that is no history in the event tables.
@@ -101,6 +101,37 @@ def marine_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _metrics(spec: ProductSpec, amount: Column) -> list[Column]:
+    """Every metric of a product inside its bounds, minima below means below maxima."""
+
+    def level(name: str) -> int:
+        return 1000 if name.startswith("pressure") else 12 if name.endswith("_max") else 4 if name.endswith("_min") else 8
+
+    return [(F.lit(float(level(m))) + amount).alias(m) for m in spec.metrics]
+
+
+def bundle_products(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The six raw products out of line items and orders; forecasts are recent rows moved ahead by 400 days."""
+    keys = [F.col(SITE).cast("string").alias(SITE), F.col(DAY), F.col("model"), F.col(SNAPSHOT)]
+    amounts = {"weather": (weather_raw(spark, sf_dir), "precipitation_sum"), "marine": (marine_raw(spark, sf_dir), "wave_height_max")}
+    out = {}
+    for name, spec in PRODUCTS.items():
+        raw, metric = amounts[spec.domain]
+        rows = raw.where(F.col("model") == spec.model).groupBy(*keys).agg((F.coalesce(F.max(metric), F.lit(0.0)) / 100).alias("_amount"))
+        if spec.kind == "forecasts":
+            rows = rows.withColumn(DAY, F.date_add(DAY, 400))
+        out[name] = rows.select(SITE, DAY, "model", SNAPSHOT, *_metrics(spec, F.col("_amount")))
+    return out
+
+
+def bundle_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of all nations as it stands in a CSV."""
+    key = F.col(SITE)
+    places = {"lat_land": 5 + key / 10, "lon_land": 78 + key / 10, "lat_sea": 5.5 + key / 10, "lon_sea": 78.5 + key / 10}
+    sites = nation_sites(spark, sf_dir).select(key, "name", F.col("sector").alias("coastal_sector"), *[c.alias(n) for n, c in places.items()])
+    return sites.withColumn(SITE, key.cast("string"))
+
+
 def catch(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("species"))
     lines = _line_sites(spark, sf_dir)

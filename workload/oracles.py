@@ -303,6 +303,19 @@ ORACLES: dict[str, str] = {
         where try_cast(snapshot_id as timestamp) <= timestamp '2020-06-15'
         qualify row_number() over (partition by site_id, date_local
           order by try_cast(snapshot_id as timestamp) desc, snapshot_id desc, record_key desc) = 1""",
+    "asof_origins": f"""with {WEATHER},
+        issued as (
+          select site_id, date_local, try_cast(snapshot_id as timestamp) as issued_at, snapshot_id, precipitation_sum, record_key from weather
+          where try_cast(snapshot_id as timestamp) is not null
+          qualify row_number() over (partition by site_id, date_local, issued_at order by snapshot_id desc, record_key desc) = 1),
+        asked as (
+          select c_nationkey as site_id, cast(o_orderdate as date) as date_local, o_orderkey,
+            make_date(2020, month(o_orderdate), least(day(o_orderdate), 28)) as origin
+          from orders join customer on o_custkey = c_custkey)
+        select o_orderkey, a.site_id, cast(a.date_local as varchar) as date_local, cast(origin as varchar) as origin,
+          snapshot_id as forecast_vintage, precipitation_sum, record_key
+        from asked a asof left join issued i
+          on a.site_id = i.site_id and a.date_local = i.date_local and cast(a.origin as timestamp) >= i.issued_at""",
     "daily_outer_join": f"with {DAILY} select {DAILY_OUT} from daily",
     "registry_enriched": f"with {SITES},{DAILY} select {DAILY_OUT}, name, sector from daily left join sites using (site_id)",
     "domain_match_counts": f"with {DAILY} select domain_match, count(*) as site_days from daily group by 1",
@@ -523,9 +536,77 @@ ORACLES: dict[str, str] = {
         from (select * from shards union all select * replace ('path' as reader) from shards where reader = 'scan')
         group by 1, 2""",
 
+    "pinned_revisions": f"""with {WEATHER},
+        held as (
+          select revision, h.product, w.* exclude (product) from weather w join (values
+            ('r1', 'era5', 'weather_reanalysis'), ('r2', 'era5', 'weather_reanalysis'),
+            ('r2', 'ecmwf_ifs025', 'weather_reanalysis'), ('r2', 'ecmwf_ifs025', 'weather_recent')) h(revision, kind, product) on kind = model)
+        select revision, cast(sum(count(*)) over (partition by revision) as bigint) as committed_rows, product, count(*) as records,
+          sum(precipitation_sum) as rain, cast(max(date_local) as varchar) as last_day
+        from held group by revision, product""",
+
     "stream_equals_batch": BEST_WEATHER_OUT,
     "stream_repeats": f"""with {WEATHER}
         select (select count(*) from (select distinct site_id, date_local, model, snapshot_id from weather)) as accepted,
           cast((select sum(n - 1) from (select count(*) as n from weather
                 group by site_id, date_local, model, snapshot_id)) as bigint) as refused""",
 }
+
+BUNDLE = f"""{WEATHER},{MARINE},
+held as (
+  select distinct split_part(product, '_', 1) as domain, case when model in ('era5', 'era5_ocean') then 'reanalysis' else 'recent' end as kind,
+    cast(site_id as varchar) as site_id, date_local, snapshot_id
+  from (select product, model, site_id, date_local, snapshot_id from weather union all select product, model, site_id, date_local, snapshot_id from marine)
+),
+shards as (
+  select * from held
+  union all select domain, 'forecasts', site_id, date_local + 400, snapshot_id from held where kind = 'recent'
+),
+past as (select distinct site_id, date_local from shards where kind <> 'forecasts' and date_local < date '2000-01-01'),
+old as (
+  select site_id, date_local, bool_or(domain = 'weather') as w, bool_or(domain = 'marine') as m
+  from shards where kind = 'reanalysis' and date_local < date '2000-01-01' group by 1, 2
+),
+ahead as (select distinct site_id, date_local, snapshot_id from shards where kind = 'forecasts'),
+timeline as (
+  select * from past
+  union all select distinct site_id, date_local from ahead where date_local not in (select date_local from past)
+),
+registry as (select cast(n_nationkey as varchar) as site_id from nation join region on n_regionkey = r_regionkey)"""
+
+_VIEW = "count(*) as records, count(distinct (site_id, date_local)) as site_days, cast(min(date_local) as varchar) as first_day, cast(max(date_local) as varchar) as last_day"
+
+ORACLES |= {
+    "strict_bundle": f"""with {BUNDLE}
+        select domain || '_' || kind as product, count(*) as records, count(*) as complete, count(distinct site_id) as sites from shards group by 1
+        union all select 'registry', count(*), count(*), count(distinct site_id) from registry""",
+    "panel_views": f"""with {BUNDLE}
+        select 'reanalysis' as view, {_VIEW} from old union all select 'past', {_VIEW} from past
+        union all select 'forecasts', {_VIEW} from ahead union all select 'timeline', {_VIEW} from timeline""",
+    "publish_coverage": f"""with {BUNDLE},
+        years as (
+          select cast(year(d) as bigint) as year, count(*) as expected_days
+          from (select unnest(generate_series(date '1993-06-15', date '1999-12-31', interval 1 day)) as d) group by 1),
+        days as (
+          select site_id, year(date_local) as year, count(*) as available_rows, count(*) filter (w) as weather_days,
+            count(*) filter (m) as marine_days, count(*) filter (w and m) as paired_days
+          from old where date_local >= date '1993-06-15' group by 1, 2)
+        select site_id, y.year, expected_days, coalesce(available_rows, 0) as available_rows, coalesce(weather_days, 0) as weather_days,
+          coalesce(marine_days, 0) as marine_days, coalesce(paired_days, 0) as paired_days, expected_days - coalesce(paired_days, 0) as missing_pair_days,
+          round_even(100.0::double * coalesce(paired_days, 0) / expected_days, 2) as coverage_pct, (select count(*) from old) as panel_rows
+        from registry cross join years y left join days using (site_id, year)""",
+    "view_export": f"""with {BUNDLE}
+        select count(*) as records, (select cast(date_local as varchar) from timeline order by site_id, timeline.date_local limit 1) as first_day,
+          max(site_id) as last_site, 'timeline.csv' as name, cast(0 as bigint) as unordered_files from timeline""",
+    "registry_csv": f"""select cast(s_suppkey as varchar) as site_id, s_name as name, case when s_suppkey % 3 = 2 then cast(s_nationkey as varchar) end as coastal_sector,
+          round(5.0::double + (s_suppkey % 70) / 10, 6) as lat_land, case when s_suppkey % 9 <> 0 then 78.0::double + (s_suppkey % 40) / 10 end as lon_sea,
+          (select cast(sum(violations) as bigint) from ({ORACLES["registry_contract"]})) as violations
+        from supplier""",
+    "checked_write": f"select *, false as committed from ({ORACLES['contract_report']})",
+    "coverage_from_states": ORACLES["coverage_by_year"],
+    "explorer_indexed_pages": f"""with {DAILY},
+        placed as (select daily.site_id, daily.date_local, domain_match, precipitation_sum, row_number() over (order by daily.site_id, daily.date_local) as n from daily)
+        select site_id, {DAY}, domain_match, precipitation_sum, cast((n - 1) // 250 + 1 as int) as page, cast((n - 1) % 250 + 1 as int) as place,
+          (select cast(greatest(1, ceil(count(*) / 250.0)) as bigint) from placed) as pages
+        from placed where (n - 1) // 250 + 1 in (2, 21)""",
+}

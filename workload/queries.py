@@ -12,16 +12,23 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from tidepanel.contracts import guarded
 from tidepanel.contracts import validate as C
 from tidepanel.functions.status import ELEVATED, HIGHER, indicator_status
 from tidepanel.operators import coverage as cov
 from tidepanel.operators import explore as ex
 from tidepanel.operators import joins, records, select
 from tidepanel.operators import timeline as tl
+from tidepanel.operators.asof import as_of_join
+from tidepanel.operators.pages import index_pages
+from tidepanel.plans.panel import VIEWS, export_view, publish, view
 from tidepanel.session import pin_utc, scratch_path
 from tidepanel.sinks.export import export
-from tidepanel.sources.scans import product_of_file, read_manifest, read_product, read_records
+from tidepanel.sources.bundle import Bundle, load_snapshot
+from tidepanel.sources.revisions import commit_revision, read_revision, revision_files, revisions
+from tidepanel.sources.scans import read_manifest, read_product, read_records, read_registry, read_routed
 from tidepanel.specs import DAY, PANEL_KEY, RAW_KEY, SITE, SNAPSHOT, VINTAGE
 from tidepanel.streaming.ingest import PanelStore, shard_stream, stream_into
 from workload import adapters as a
@@ -124,6 +131,20 @@ def asof_vintage(spark, sf_dir):
     return chosen.select(*PANEL_KEY, VINTAGE, "precipitation_sum", "record_key")
 
 
+@registered
+def asof_origins(spark, sf_dir):
+    """Every order's day is an origin: the latest dated snapshot of its nation's weather on that day, of those issued by the same day of 2020."""
+    customer = a.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias(SITE))
+    orders = a.table(spark, sf_dir, "orders")
+    asked = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+        SITE, F.col("o_orderdate").cast("date").alias(DAY), "o_orderkey",
+        F.make_date(F.lit(2020), F.month("o_orderdate"), F.least(F.dayofmonth("o_orderdate"), F.lit(28))).cast("timestamp").alias("origin"),
+    )
+    raw = a.weather_raw(spark, sf_dir).withColumnRenamed(SNAPSHOT, VINTAGE).select(*PANEL_KEY, VINTAGE, "precipitation_sum", "record_key")
+    found = as_of_join(asked, raw, tie_breakers=a.TIE)
+    return found.select("o_orderkey", SITE, DAY, F.col("origin").cast("date").alias("origin"), VINTAGE, "precipitation_sum", "record_key")
+
+
 # -- joins --------------------------------------------------------------------------
 
 
@@ -473,15 +494,16 @@ def records_csv(spark, sf_dir):
 
 @registered
 def snapshot_scan(spark, sf_dir):
-    """Shards written per product, some without the wind column, read back three ways."""
+    """Shards written per product, some without the wind column, some with it as text, read back three ways."""
     root = scratch_path(spark, "snapshot")
     raw = a.weather_raw(spark, sf_dir).drop("product").withColumn("year", F.year(DAY))
     early, late = (raw.where(kind).hint("rebalance", F.col("year")) for kind in ("model = 'era5'", "model <> 'era5'"))
-    early.write.partitionBy("year").parquet(f"{root}/data/weather_reanalysis/first")
+    early.where("year < 1995").write.partitionBy("year").parquet(f"{root}/data/weather_reanalysis/first")
+    early.where("year >= 1995").withColumn("wind_speed_10m_max", F.col("wind_speed_10m_max").cast("string")).write.partitionBy("year").parquet(f"{root}/data/weather_reanalysis/third")
     late.drop("wind_speed_10m_max").write.partitionBy("year").parquet(f"{root}/data/weather_reanalysis/second")
     late.write.partitionBy("year").parquet(f"{root}/data/weather_recent")
     names = ("weather_reanalysis", "weather_recent")
-    whole = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(f"{root}/data")
+    whole = read_routed(spark, root)
     listed = [path[path.index("/data/") + 1 :] for path in whole.inputFiles()]
     readers = {
         "scan": {name: read_product(spark, root, name) for name in names},
@@ -492,12 +514,138 @@ def snapshot_scan(spark, sf_dir):
         for reader, products in readers.items()
         for name, df in products.items()
     ]
-    parts.append(product_of_file(whole).select(F.lit("path").alias("reader"), "product", "wind_speed_10m_max", DAY))
+    parts.append(whole.select(F.lit("path").alias("reader"), "product", "wind_speed_10m_max", DAY))
     return reduce(DataFrame.unionByName, parts).groupBy("reader", "product").agg(
         F.count(F.lit(1)).alias("records"), F.count("wind_speed_10m_max").alias("with_wind"), F.max(DAY).alias("last_day")
     )
 
 
+@registered
+def pinned_revisions(spark, sf_dir):
+    """Two revisions of one growing snapshot, each read as it was committed."""
+    root = scratch_path(spark, "pinned")
+    raw = a.weather_raw(spark, sf_dir).drop("product")
+    raw.where("model = 'era5'").write.parquet(f"{root}/data/weather_reanalysis/first")
+    commit_revision(spark, root, "r1")
+    raw.where("model <> 'era5'").write.parquet(f"{root}/data/weather_reanalysis/second")
+    raw.where("model <> 'era5'").write.parquet(f"{root}/data/weather_recent")
+    commit_revision(spark, root, "r2")
+    parts = []
+    for name in revisions(spark, root):
+        rows = revision_files(spark, root, name).agg(F.sum("rows")).first()[0]
+        for product, df in read_revision(spark, root, name).items():
+            parts.append(df.select(F.lit(name).alias("revision"), F.lit(rows).alias("committed_rows"), F.lit(product).alias("product"), "precipitation_sum", DAY))
+    return reduce(DataFrame.unionByName, parts).groupBy("revision", "committed_rows", "product").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("precipitation_sum").alias("rain"), F.max(DAY).alias("last_day")
+    )
+
+
+# -- bundles ------------------------------------------------------------------------------------
+
+
+def _written_snapshot(spark, sf_dir) -> str:
+    """A snapshot folder: shards of six products and the registry as CSV."""
+    root = scratch_path(spark, "bundle")
+    for name, df in a.bundle_products(spark, sf_dir).items():
+        df.write.parquet(f"{root}/data/{name}")
+    a.bundle_sites(spark, sf_dir).repartition(1).write.option("header", True).csv(f"{root}/metadata/sites.csv")
+    return root
+
+
+def _loaded(spark, sf_dir) -> Bundle:
+    return load_snapshot(spark, _written_snapshot(spark, sf_dir), "given", known=a.bundle_sites(spark, sf_dir))
+
+
+@registered
+def strict_bundle(spark, sf_dir):
+    """A snapshot loaded strictly: every rule holds, products are typed, the registry comes from its CSV."""
+    bundle = _loaded(spark, sf_dir)
+    facts = [F.count(F.lit(1)).alias("records"), F.count_if("complete_core").alias("complete"), F.count_distinct(SITE).alias("sites")]
+    parts = [df.groupBy("product").agg(*facts) for df in bundle.products.values()]
+    registry = bundle.sites.agg(F.count(F.lit(1)).alias("records"), F.count("lat_sea").alias("complete"), F.count_distinct(SITE).alias("sites"))
+    return reduce(DataFrame.unionByName, [*parts, registry.withColumn("product", F.lit("registry"))])
+
+
+@registered
+def panel_views(spark, sf_dir):
+    """The explorer's four products of one bundle."""
+    bundle = _loaded(spark, sf_dir)
+    parts = []
+    for name in VIEWS:
+        rows = view(bundle, name, AS_OF)
+        facts = [F.count(F.lit(1)).alias("records"), F.count_distinct(*PANEL_KEY).alias("site_days"), F.min(DAY).alias("first_day"), F.max(DAY).alias("last_day")]
+        parts.append(rows.agg(*facts).withColumn("view", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@registered
+def publish_coverage(spark, sf_dir):
+    """The published panel's coverage report, read back from its CSV."""
+    panel, report = publish(_loaded(spark, sf_dir), scratch_path(spark, "published"), AS_OF, "1993-06-15")
+    rows = spark.read.parquet(panel).agg(F.count(F.lit(1))).scalar()
+    back = spark.read.option("header", True).csv(report)
+    names = [c for c in back.columns if c.endswith("site_id")]
+    whole = [F.col(c).cast("long").alias(c) for c in ("year", "expected_days", "available_rows", "weather_days", "marine_days", "paired_days", "missing_pair_days")]
+    return back.select(F.col(names[0]).alias(SITE), *whole, F.col("coverage_pct").cast("double").alias("coverage_pct"), rows.alias("panel_rows"))
+
+
+@registered
+def view_export(spark, sf_dir):
+    """A whole view exported as one CSV and read back: its name tells that it isn't synthetic, its lines are in key order."""
+    bundle = _loaded(spark, sf_dir)
+    path = export_view(bundle, "timeline", scratch_path(spark, "whole"), "csv", AS_OF, limit=1_000_000_000)
+    lines = spark.read.option("header", True).csv(path)
+    site = next(c for c in lines.columns if c.endswith("site_id"))
+    # Files are numbered as they follow each other.
+    place = lines.select(F.col(site).alias(SITE), DAY, F.col("_metadata.file_name").alias("file"))
+    ends = place.groupBy("file").agg(F.min(F.struct(SITE, DAY)).alias("first"), F.max(F.struct(SITE, DAY)).alias("last"), F.count(F.lit(1)).alias("n"))
+    gap = ends.withColumn("_before", F.lag("last").over(Window.orderBy("file"))).where("_before >= first")
+    return ends.agg(F.sum("n").alias("records"), F.min("first").getField(DAY).alias("first_day"), F.max("last").getField(SITE).alias("last_site")).withColumns(
+        {"name": F.lit(path.rsplit("/", 1)[1]), "unordered_files": gap.agg(F.count(F.lit(1))).scalar()}
+    )
+
+
+@registered
+def registry_csv(spark, sf_dir):
+    """The registry's CSV with texts that mean no value, checked and typed."""
+    root = scratch_path(spark, "registry")
+    key = F.col(SITE).cast("int")
+    texts = a.supplier_sites(spark, sf_dir).withColumn("coastal_sector", F.when(key % 3 == 0, "NA").when(key % 3 == 1, "").otherwise(F.col("coastal_sector")))
+    texts.write.option("header", True).csv(root)
+    back = read_registry(spark, root)
+    report = C.registry_report(back, a.registered_suppliers(spark, sf_dir)).agg(F.sum("violations")).scalar()
+    return C.typed_registry(back).select(SITE, "name", "coastal_sector", F.round("lat_land", 6).alias("lat_land"), "lon_sea", report.alias("violations"))
+
+
+# -- rules on the way, states, pages ------------------------------------------------------------
+
+
+@registered
+def checked_write(spark, sf_dir):
+    """The contract counted while the product is written; broken rules withhold the commit."""
+    done = guarded.checked_write(a.dirty_weather(spark, sf_dir), a.DIRTY_SPEC, scratch_path(spark, "checked"), "weather", a.registered_suppliers(spark, sf_dir))
+    return done.report.withColumn("committed", F.lit(done.committed))
+
+
+@registered
+def coverage_from_states(spark, sf_dir):
+    """Coverage out of the merged bitmaps of two overlapping deliveries."""
+    rows = daily(spark, sf_dir, dates=(COVER_START, COVER_END))
+    halves = [cov.coverage_state(rows.where(part)) for part in ("month(date_local) <= 7", "month(date_local) >= 6")]
+    return cov.coverage_from_state(cov.merged_states(*halves), a.nation_sites(spark, sf_dir), COVER_START, COVER_END)
+
+
+@registered
+def explorer_indexed_pages(spark, sf_dir):
+    """Two pages out of one index, each row with its place."""
+    pages = index_pages(daily(spark, sf_dir).select(*PANEL_KEY, "domain_match", "precipitation_sum"))
+    first, size = Window.orderBy(*PANEL_KEY), 250
+    parts = [
+        pages.page(spark, number, size).withColumns({"page": F.lit(number), "place": F.row_number().over(first)}) for number in (2, 21)
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("pages", F.lit(pages.count(size)).cast("long"))
+
+
 # -- streaming --------------------------------------------------------------------------------
 
 
@@ -526,5 +674,5 @@ def stream_repeats(spark, sf_dir):
     """Raw keys delivered again: rows accepted and refused over all deliveries."""
     store = _deliver(spark, sf_dir, "repeats")
     refused = store.read_repeats(spark).agg(F.sum(F.col("copies") - F.col("accepted")).alias("refused"))
-    accepted = spark.read.parquet(store.raw).agg(F.count(F.lit(1)).alias("accepted"))
+    accepted = store.read_raw(spark).agg(F.count(F.lit(1)).alias("accepted"))
     return spark.range(1).select(accepted.scalar().alias("accepted"), refused.scalar().alias("refused"))
