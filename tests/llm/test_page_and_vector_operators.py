@@ -19,6 +19,19 @@ def test_url_rules_nest(spark, monkeypatch):
         assert got == {i: want.get(i) for i in range(len(urls))}
 
 
+def test_url_rules_in_many_rounds(spark, monkeypatch):
+    """Rounds agree with one sweep: pages without a rule so far, and equally long rules of other hosts."""
+    rules = [("a.bb", "/ccc", "block"), ("bb", "/ccc/d", "allow"), ("bb", "/", "block"), ("x.a.bb", "/", "allow"), ("cc", "/e", "block"), ("", "/", "allow")]
+    urls = ["http://a.bb/ccc/d", "http://x.a.bb/ccc/d/e", "http://bb/ccc/d", "http://q.cc/e", "http://cc/f", "http://zz/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    once = sorted(map(tuple, url_rules.judged(pages, frame).collect()), key=repr)
+    assert {r[0]: r[3] for r in once} == {0: "a.bb/ccc", 1: "a.bb/ccc", 2: "bb/ccc/d", 3: "cc/e", 4: None, 5: None, 6: None}
+    for swept in (1, 3):
+        monkeypatch.setattr(url_rules, "SWEPT_RULES", swept)
+        assert sorted(map(tuple, url_rules.judged(pages, frame).collect()), key=repr) == once
+
+
 def test_url_rules_on_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_rules.judged(pages, spark.createDataFrame([], "host string, path string, verdict string")).count() == 0

@@ -49,8 +49,8 @@ def _sweep(rules: list[tuple[str, str, str]]):
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, stack = 0, []
         for batch in batches:
-            names, verdicts, lengths = [], [], []
-            for key, path in zip(batch["_key"], batch["path"], strict=True):
+            found = []
+            for key, path, rule, host_chars, verdict in zip(*[batch[c] for c in ("_key", "path", "rule", "_host", "_verdict")], strict=True):
                 while at < len(ordered) and ordered[at] <= key:
                     while stack and not ordered[at].startswith(stack[-1]):
                         stack.pop()
@@ -59,11 +59,12 @@ def _sweep(rules: list[tuple[str, str, str]]):
                 while stack and not key.startswith(stack[-1]):
                     stack.pop()
                 fits = [r for open_ in stack for r in by_key[open_] if path.startswith(r[1])]
-                best = max(fits, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r), default=None)
-                names.append(best and best[0] + best[1])
-                verdicts.append(best and best[2])
-                lengths.append(best and len(best[0]) + len(best[1]))
-            batch["rule"], batch["_verdict"] = pd.Series(names, dtype=object, index=batch.index), pd.Series(verdicts, dtype=object, index=batch.index)
+                if host_chars >= 0:  # what an earlier round found competes with the rest
+                    fits.append((rule[:host_chars], rule[host_chars:], verdict))
+                found.append(max(fits, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r), default=None))
+            for name, value in (("rule", lambda r: r[0] + r[1]), ("_verdict", lambda r: r[2])):
+                batch[name] = pd.Series([r and value(r) for r in found], dtype=object, index=batch.index)
+            batch["_host"] = pd.Series([len(r[0]) if r else -1 for r in found], dtype="int64", index=batch.index)
             yield batch
 
     return sweep
@@ -74,39 +75,19 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
 
     ``rules`` has host, path and verdict ('allow' or 'block').  A rule fits its host and all subdomains if the
     page's path starts with the rule's; the longest one (host and path together, then the longer host, then by text)
-    wins.  A page without a rule gets ``default``.  A NULL url, or one without ``://``, has an empty host and path.
+    wins, whatever the number of rounds that the rules are swept in.  A page without a rule gets ``default``.  A NULL url, or one without ``://``, has an empty host and path.
     Repeated rules count once, repeated pages are rows of their own; other columns of ``pages`` are not read.
     """
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.withColumns({"_key": reversed_key(F.col("host")), "rule": F.lit(None).cast("string"), "_verdict": F.lit(None).cast("string")})
+    # rule and verdict found so far, and the characters of the rule that are its host's (-1: none found)
+    none = F.lit(None).cast("string")
+    rows = rows.withColumns({"_key": reversed_key(F.col("host")), "rule": none, "_host": F.lit(-1).cast("long"), "_verdict": none})
     listed = rules.select("host", "path", "verdict").filter("host is not null and path is not null").distinct()
     rounds = -(-listed.count() // SWEPT_RULES)
     # many pages of one host are dealt to several ranges, as the path and the id take part in the order
     rows = rows.repartitionByRange("_key", "path", "page_id").sortWithinPartitions("_key")
     for i in range(rounds):
         some = listed if rounds == 1 else listed.filter(F.pmod(F.xxhash64("host", "path"), F.lit(rounds)) == i)
-        swept = rows.mapInPandas(_sweep([tuple(r) for r in some.collect()]), rows.schema) if rounds == 1 else _longer(rows, some)
-        rows = swept
+        rows = rows.mapInPandas(_sweep([tuple(r) for r in some.collect()]), rows.schema)
     return rows.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.lit(default)).alias("verdict"))
-
-
-def _longer(rows: DataFrame, some: DataFrame) -> DataFrame:
-    """``rows`` swept once more, a new rule replacing a shorter one."""
-    sweep = _sweep([tuple(r) for r in some.collect()])
-
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before: list[pd.DataFrame] = []
-
-        def remembered() -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                before.append(batch[["rule", "_verdict"]].copy())
-                yield batch
-
-        for batch in sweep(remembered()):
-            old = before.pop(0)
-            better = old["rule"].notna() & (batch["rule"].isna() | (old["rule"].str.len() >= batch["rule"].str.len()))
-            batch.loc[better, ["rule", "_verdict"]] = old.loc[better]
-            yield batch
-
-    return rows.mapInPandas(again, rows.schema)
