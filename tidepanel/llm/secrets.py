@@ -3,9 +3,10 @@
 Every run of 16 or more letters of the secret alphabet that holds a digit and no base span is a candidate.  The
 network (numpy) reads the candidate and the text around it: character embeddings, one convolution, the maxima and
 means of its filters over the candidate, their maxima over the context, a logistic output.  It is trained on
-labelled findings: base findings of a bounded sample of documents against other candidates of it, and
-generated keys of public formats against generated lookalikes.  Held-back findings calibrate the output and set the
-threshold, the highest one that keeps ``RECALL`` of them.
+labelled findings: base findings of a bounded sample of documents, keys of public formats generated by rule, and
+generated lookalikes.  Other candidates of the sample are nobody's counterexamples unless a first network is sure of
+them.  Held-back findings calibrate the output and set the threshold, the highest one that keeps ``RECALL`` of the
+secrets among them.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BEFORE, INSIDE, AFTER = 24, 48, 8
 #: Documents whose candidates are learnt from, and findings of each label kept of them.
 TRAIN_DOCS, TRAIN_FINDINGS = 4000, 1500
 RECALL = 0.98
+#: Candidates of the corpus below this probability are learnt from as counterexamples.
+SURELY_NONE = 0.05
 EMBEDDED, FILTERS, WIDTH = 8, 24, 5
 EPOCHS, BATCH, RATE = 12, 128, 0.01
 
@@ -174,8 +177,8 @@ def generated(n: int, seed: int = 17) -> list[tuple[Finding, int]]:
     return out
 
 
-def labelled(documents: DataFrame) -> list[tuple[Finding, int]]:
-    """Findings of a bounded sample of documents: base findings (1, with and without what stands before them) and other candidates (0)."""
+def labelled(documents: DataFrame) -> tuple[list[tuple[Finding, int]], list[Finding]]:
+    """Findings of a bounded sample of documents: base findings (1, with and without what stands before them), and other candidates, of which nothing is known."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,14 +196,15 @@ def labelled(documents: DataFrame) -> list[tuple[Finding, int]]:
     ids = kept(sampled(documents.select("doc_id").filter("doc_id is not null"), TRAIN_DOCS), "secret-ids")
     sample = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").select("text")
     rows_ = kept(sample.mapInArrow(rows, "left string, value string, right string, label int"), "findings")
-    out = []
+    known, unknown = [], []
     for label in (0, 1):
         for r in rows_.filter(F.col("label") == label).orderBy(F.xxhash64("value", "left"), "value", "left").limit(TRAIN_FINDINGS).collect():
-            value = r.value[: 4 * INSIDE]
-            out.append(((r.left, value, r.right), label))
+            finding = (r.left, r.value, r.right)
             if label:
-                out.append((("", value, r.right), label))
-    return out
+                known += [(finding, 1), (("", *finding[1:]), 1)]
+            else:
+                unknown.append(finding)
+    return known, unknown
 
 
 def fit(findings: list[tuple[Finding, int]], seed: int = 17) -> Network:
@@ -238,7 +242,7 @@ def fit(findings: list[tuple[Finding, int]], seed: int = 17) -> Network:
         logits = np.log(chance / (1 - chance))
         net.curve = _calibrated(logits, truth)
         right = np.sort(net.probability(held)[truth == 1])
-        net.threshold = max(0.5, float(right[int(len(right) * (1 - RECALL))]))
+        net.threshold = float(right[int(len(right) * (1 - RECALL))])
     return net
 
 
@@ -254,7 +258,18 @@ def _calibrated(logits: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
 
 
 def train(documents: DataFrame) -> Network:
-    return fit(labelled(documents) + generated(2000))
+    """A network of the base findings and of findings made by rule.
+
+    Other candidates of the documents may be keys of formats that nobody labelled.  Only those that a first
+    network is sure to be none are counterexamples of the second, so keys in the corpus never teach against themselves.
+    """
+    known, unknown = labelled(documents)
+    known += generated(2000)
+    if not unknown:
+        return fit(known)
+    first = fit(known)
+    harmless = [(f, 0) for f, p in zip(unknown, first.probability(unknown), strict=True) if p < SURELY_NONE]
+    return fit(known + harmless) if harmless else first
 
 
 def spans_of(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
