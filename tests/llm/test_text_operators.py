@@ -91,6 +91,21 @@ def test_secret_base_spans(spark, odd):
     assert masked[4].text is None and masked[1].text.startswith("w0 w1")
 
 
+def test_secrets_of_a_format_that_fills_the_corpus(spark):
+    """Keys of a format that nobody labelled are no counterexamples, however many the corpus holds."""
+    rng = np.random.default_rng(9)
+    alphabet = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+    def key():
+        return "npm_" + "".join(rng.choice(alphabet, 36))
+
+    texts = [f"plain words use {key()} and more of them, page 12" for _ in range(2000)] + ["call 4111-1111-1111-1111 today"] * 50 + ["password = hunter2222"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = secrets.train(docs)
+    found = secrets.spans_of([f"see {key()} there" for _ in range(300)], net)
+    assert sum(len(spans) == 1 for spans in found) >= 0.9 * 300
+
+
 def test_secret_network_tells_generated_keys():
     net, tried = secrets.fit(secrets.generated(1600)), secrets.generated(400, seed=5)
     chance = net.probability([f for f, _ in tried])
@@ -174,6 +189,18 @@ def contaminated(docs, items, width=10):
     return out
 
 
+def test_decontamination_tells_rows_apart(spark):
+    """Rows that share an id, or have none, are judged by their own texts."""
+    rows = [(5, "alpha x x"), (5, "y beta gamma"), (5, "alpha beta gamma"), (5, "alpha beta gamma"), (None, "so alpha beta gamma"), (None, "alpha beta"), (None, None), (6, "gamma")]
+    docs = spark.createDataFrame([(i, t, "d") for i, t in rows], "doc_id long, text string, doc string")
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, items).collect()), key=repr)
+    assert got == sorted([(5, 3, 0, False), (5, 3, 0, False), (5, 3, 3, True), (5, 3, 3, True), (None, 4, 3, True), (None, 2, 0, False), (None, 0, 0, False), (6, 1, 0, False)], key=repr)
+    left = decontaminate.uncontaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(5, "alpha x x"), (5, "y beta gamma"), (None, "alpha beta"), (None, None), (6, "gamma")], key=repr)
+
+
 def test_decontamination(spark, odd):
     items = spark.createDataFrame([(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (3, "One, TWO"), (10, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (11, "w3 nowhere"), (12, "")], "item_id long, text string")
     docs = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])

@@ -58,8 +58,14 @@ def frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
     return postings(documents, terms).groupBy("term").agg(F.count("*").alias("listed"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart: 64 bits of id and text, so neither repeated nor missing ids mix rows up; equal rows share one."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
 def _counted_documents(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    doc_id, text = F.col("doc_id"), F.col("text")
+    return documents.select(doc_id.cast("long").alias("doc_id"), row_key(doc_id, text).alias("doc"), text.cast("string").alias("text"))
 
 
 def ranked_phrases(phrases: DataFrame, listed: DataFrame) -> DataFrame:
@@ -93,12 +99,12 @@ def phrase_matches(documents: DataFrame, ranked: DataFrame, index: DataFrame, sl
     rest = ranked.filter("size(rare) > 2").select("phrase", F.explode(F.expr("slice(rare, 3, size(rare))")).alias("place")).select("phrase", "place.term", "place.offset")
     open_ = found.filter("n > 2")
     here = _small(open_.select("doc").distinct())
-    local = documents.join(here, documents.doc.eqNullSafe(here.doc), "left_semi")
+    local = documents.join(here, "doc", "left_semi")
     wanted = open_.join(_small(rest), "phrase").withColumn("pos", F.col("start") + F.col("offset"))
     if slop:
         wanted = wanted.withColumn("by", F.explode(near)).withColumn("pos", F.col("pos") + F.col("by")).drop("by")
     tokens = _tokens(local).withColumnRenamed("doc", "at")
-    same = wanted.doc.eqNullSafe(tokens["at"]) & (wanted.pos == tokens.pos) & (wanted.term == tokens.term)
+    same = (wanted.doc == tokens["at"]) & (wanted.pos == tokens.pos) & (wanted.term == tokens.term)
     held = wanted.join(tokens, same).groupBy("phrase", "doc", "start").agg(F.count_distinct("offset").alias("met"), F.first("n").alias("n"))
     return found.filter("n <= 2").select("phrase", "doc", "start").unionByName(held.filter("met = n - 2").select("phrase", "doc", "start"))
 
@@ -112,10 +118,14 @@ def rare_index(documents: DataFrame, ranked: DataFrame) -> DataFrame:
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A word inside any occurrence of a window is hit.  NULL and empty texts have no words.  Rows that
-    repeat an id share one result if their texts agree; with other texts the hits of the id are counted
-    together.  An item id met twice with other texts has the windows of both.  Other columns are not read.
+    A word inside any occurrence of a window is hit.  NULL and empty texts have no words.  Every row is
+    judged by its own text, whether its id is repeated or NULL.  An item id met twice with other texts has
+    the windows of both.  Other columns are not read.
     """
+    return _judged_rows(documents, benchmark).drop("doc")
+
+
+def _judged_rows(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = _counted_documents(documents)
     phrases = windows(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text"))
     owners = kept(phrases.select("item_id", "terms", F.sha2(F.concat_ws(" ", "terms"), 256).alias("phrase")), "owners")
@@ -134,15 +144,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         matches.select("doc", "phrase").distinct().join(owners.select("phrase", "item_id"), "phrase").select("doc", "item_id").distinct()
         .groupBy("doc").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item_id"))).alias("items"))
     )
-    sizes = index.filter(F.col("term") == _END).select(F.col("doc").alias("doc_id"), F.col("pos").cast("long").alias("n_words"))
-    found = hits.join(items.withColumnRenamed("doc", "held"), F.col("doc").eqNullSafe(F.col("held")))
-    return sizes.join(found, sizes.doc_id.eqNullSafe(found.doc), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+    # Equal rows end at the same place.
+    sizes = index.filter(F.col("term") == _END).groupBy("doc").agg(F.max("pos").cast("long").alias("n_words"))
+    found = sizes.join(hits, "doc", "left").join(items, "doc", "left")
+    return docs.select("doc_id", "doc").join(found, "doc").select(
+        "doc", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
 
 def uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no window of any item, with their columns as they were; rows without an id stay."""
-    bad = contamination(documents, benchmark).filter("contaminated and doc_id is not null").select("doc_id")
-    return documents.join(bad.distinct(), "doc_id", "left_anti").select(documents.columns)
+    """The documents that hold no window of any item, with their columns as they were."""
+    bad = _judged_rows(documents, benchmark).filter("contaminated").select(F.col("doc").alias("_doc")).distinct()
+    return documents.join(bad, row_key(F.col("doc_id"), F.col("text")) == bad["_doc"], "left_anti").select(documents.columns)
