@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.llm import decontaminate, mixing, secrets, shingle_join, toxicity
-from tidepanel.llm.common import kept
+from tidepanel.llm.common import in_small_batches, kept
 from tidepanel.llm.queries import table
 
 
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays, the one with the smallest id."""
-    return shingle_join.first_of_each(docs, COPY_WIDTH, COPY_SIMILAR)
+    return shingle_join.first_of_each(in_small_batches(docs), COPY_WIDTH, COPY_SIMILAR)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
-    return secrets.redacted(docs)
+    return secrets.redacted(in_small_batches(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.session import scratch_path
 
+#: Bytes of rows that a Python worker is handed at once; a longer row comes alone.
+BATCH_BYTES = 4 << 20
 #: One of this many folds is never learnt from.
 FOLDS = 5
 
@@ -22,6 +24,12 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python workers batches bounded by bytes: thousands of long texts are no batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold that training never sees (a NULL id does)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepanel.llm import collocations, decontaminate, html_wrappers, language_id, mixing, pii, quality, secrets, shingle_join, toxicity, turn_repair, url_rules, vector_search
-from tidepanel.llm.common import held_out
+from tidepanel.llm.common import held_out, in_small_batches
 
 # The URL rules (host, path, verdict), the number of grades, and the phrases reported of a language.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -18,7 +18,7 @@ TOP_PHRASES = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return in_small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ SPAN = 6
 WINDOW = 24
 #: Words below this margin tell nothing more.
 FLOOR = -0.3
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 
 _NOISE = re.compile(r"[^\w\s]|[\d_]")
 _SPELLED = re.compile(r"(?<!\S)[^\W\d_][^\w\s]?(?:\s+[^\W\d_][^\w\s]?){2,}(?!\S)")
