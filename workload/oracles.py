@@ -602,6 +602,11 @@ ORACLES |= {
           round(5.0::double + (s_suppkey % 70) / 10, 6) as lat_land, case when s_suppkey % 9 <> 0 then 78.0::double + (s_suppkey % 40) / 10 end as lon_sea,
           (select cast(sum(violations) as bigint) from ({ORACLES["registry_contract"]})) as violations
         from supplier""",
+    "domain_ingest": f"""with {BUNDLE},
+        best as (select site_id, date_local, bool_or(kind = 'reanalysis') as old from held where domain = 'weather' group by 1, 2)
+        select case when old then 'weather_reanalysis' else 'weather_recent' end as product, case when old then 'era5' else 'ecmwf_ifs025' end as model,
+          count(*) as site_days, count(*) as complete, cast(min(date_local) as varchar) as first_day, cast(max(date_local) as varchar) as last_day
+        from best group by old""",
     "checked_write": f"select *, false as committed from ({ORACLES['contract_report']})",
     "coverage_from_states": ORACLES["coverage_by_year"],
     "explorer_indexed_pages": f"""with {DAILY},

@@ -30,7 +30,7 @@ from tidepanel.sources.bundle import Bundle, load_snapshot
 from tidepanel.sources.revisions import commit_revision, read_revision, revision_files, revisions
 from tidepanel.sources.scans import read_manifest, read_product, read_records, read_registry, read_routed
 from tidepanel.specs import DAY, PANEL_KEY, RAW_KEY, SITE, SNAPSHOT, VINTAGE
-from tidepanel.streaming.ingest import PanelStore, shard_stream, stream_into
+from tidepanel.streaming.ingest import PanelStore, ingest_domain, shard_stream, stream_into
 from workload import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -669,6 +669,16 @@ def stream_equals_batch(spark, sf_dir):
     return store.read_best(spark).select(*columns)
 
 
+@registered
+def domain_ingest(spark, sf_dir):
+    """A domain's shards streamed under their contract into a store, whose best records are read by product."""
+    root = _written_snapshot(spark, sf_dir)
+    store = PanelStore(f"{root}/store")
+    ingest_domain(spark, root, "weather", store, known=a.bundle_sites(spark, sf_dir)).awaitTermination()
+    facts = [F.count(F.lit(1)).alias("site_days"), F.count_if("complete_core").alias("complete"), F.min(DAY).alias("first_day"), F.max(DAY).alias("last_day")]
+    return store.read_best(spark).groupBy("product", "model").agg(*facts)
+
+
 @registered
 def stream_repeats(spark, sf_dir):
     """Raw keys delivered again: rows accepted and refused over all deliveries."""
