@@ -9,6 +9,7 @@ from tidepanel.plans.panel import daily_from_stores, daily_panel, forecast_panel
 from tidepanel.sources.scans import read_product
 from tidepanel.sinks.pointer import Folder
 from tidepanel.streaming.ingest import PanelStore, ingest_domain, pushed_lists
+from tidepanel.streaming.settled import expire_settled, settle, settled_state
 
 COLUMNS = ("site_id", "date_local", "product", "model", "snapshot_id", "complete_core", "wave_height_max")
 
@@ -208,3 +209,62 @@ def test_short_key_lists_are_merged(spark, bundle, tmp_path, monkeypatch):
     assert max(map(len, store.state(spark)["keys"].values())) <= 2
     store.absorb(typed.withColumn("snapshot_id", F.lit("2026-10-20")), 4)
     assert store.read_raw(spark).count() == 4 * 112 and store.read_repeats(spark).where("accepted = 0").count() == 112
+
+
+def same(left, right):
+    right = right.select(left.columns)
+    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.fixture
+def settled_stores(spark, bundle, tmp_path):
+    stores = []
+    for domain in ("weather", "marine"):
+        store = PanelStore(str(tmp_path / domain))
+        store.absorb(past_products(bundle, domain, True, TODAY).where("date_local >= '2026-03-01'"), 0)
+        settle(spark, store, 8)
+        stores.append(store)
+    return stores
+
+
+def test_settled_stores_are_joined_without_a_shuffle(spark, bundle, settled_stores, monkeypatch):
+    panel = daily_from_stores(*settled_stores, bundle.sites, bundle.revision, TODAY)
+    assert shuffles(panel) == 0 and "Bucketed: true" in panel._jdf.queryExecution().executedPlan().toString()
+    assert same(panel, daily_panel(bundle, True, TODAY, dates=("2026-03-01", TODAY)))
+    # Another session doesn't know the tables.
+    for store in settled_stores:
+        spark.sql(f"drop table {settled_state(spark, store)['name']}")
+    again = daily_from_stores(*settled_stores, bundle.sites, bundle.revision, TODAY)
+    assert shuffles(again) == 0 and same(again, panel)
+
+
+def test_what_came_after_settling_is_shuffled_alone(spark, bundle, settled_stores):
+    weather, marine = settled_stores
+    old = bundle.products["marine_reanalysis"]
+    changed = old.where("date_local between '2026-04-10' and '2026-04-12'").withColumns(
+        {"snapshot_id": F.lit("2026-10-20"), "wave_height_max": F.col("wave_height_max") + 1}
+    )
+    # A period that both tables hold, and one that neither does.
+    marine.absorb(changed.unionByName(old.where("date_local = '2026-02-03'")), 1)
+    panel = daily_from_stores(weather, marine, bundle.sites, bundle.revision, TODAY)
+    assert shuffles(panel) == 2
+    plain = daily_from_stores(weather, marine, bundle.sites, bundle.revision, TODAY, ("2000-01-01", TODAY))
+    assert same(panel, plain) and panel.where("marine_snapshot_id = '2026-10-20'").count() == 48
+    assert panel.where("date_local = '2026-02-03' and domain_match = 'right_only'").count() == 16
+    settle(spark, marine, 8)
+    assert expire_settled(spark, marine) == 1
+    whole = daily_from_stores(weather, marine, bundle.sites, bundle.revision, TODAY)
+    assert same(whole, plain)
+
+
+def test_unequal_tables_are_joined_as_before(spark, bundle, settled_stores, tmp_path):
+    weather, marine = settled_stores
+    expected = daily_panel(bundle, True, TODAY, dates=("2026-03-01", TODAY))
+    settle(spark, marine, 4)
+    assert same(daily_from_stores(weather, marine, bundle.sites, bundle.revision, TODAY), expected)
+    with pytest.raises(FileNotFoundError):
+        settle(spark, PanelStore(str(tmp_path / "empty")), 8)

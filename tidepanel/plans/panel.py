@@ -19,6 +19,7 @@ from tidepanel.sinks.export import export, export_path, write_panel
 from tidepanel.sources.bundle import Bundle
 from tidepanel.specs import DAY, PRODUCTS
 from tidepanel.streaming.ingest import PanelStore
+from tidepanel.streaming.settled import join_settled
 
 Dates = tuple[DayLike, DayLike] | None
 VIEWS = ("timeline", "past", "reanalysis", "forecasts")
@@ -78,8 +79,16 @@ def forecast_panel(bundle: Bundle, sites: Iterable | None = None, dates: Dates =
 def daily_from_stores(
     weather: PanelStore, marine: PanelStore, sites: DataFrame, revision: str, as_of: DayLike = None, dates: Dates = None
 ) -> DataFrame:
-    """Daily panel of two incrementally kept best-record tables; nothing is selected again."""
+    """Daily panel of two incrementally kept best-record tables; nothing is selected again.
+
+    Stores settled into equal buckets are joined without a shuffle, but for what came since.
+    A range of days is read from the stores' periods, which it picks.
+    """
     spark = sites.sparkSession
+    if dates is None:
+        joined = join_settled(spark, weather, marine, sites, revision, lambda df: before(df, as_of))
+        if joined is not None:
+            return joined
     domains = [before(store.read_best(spark, dates), as_of) for store in (weather, marine)]
     return join_domains(*domains, sites, revision)
 

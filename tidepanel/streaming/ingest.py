@@ -120,7 +120,8 @@ class PanelStore:
         reader = spark.read.option("basePath", table)
         return (reader if schema is None else reader.schema(schema)).parquet(*[f"{table}/{folder}" for folder in folders])
 
-    def _best_of(self, spark: SparkSession, state: dict, parts: Iterable[str]) -> DataFrame | None:
+    def best_of(self, spark: SparkSession, state: dict, parts: Iterable[str]) -> DataFrame | None:
+        """Best records of some periods, None where none is stored."""
         return self._valid(spark, self.best, [f"{BATCH}={state['best'][p]}/{PART}={p}" for p in parts if p in state["best"]])
 
     def keys_of(self, spark: SparkSession, state: dict, parts: Iterable[str]) -> DataFrame | None:
@@ -131,7 +132,7 @@ class PanelStore:
     def read_best(self, spark: SparkSession, dates: tuple[DayLike, DayLike] | None = None) -> DataFrame:
         """Best records, on request of a range of days, which also picks the folders to read."""
         state = self.state(spark)
-        best = self._best_of(spark, state, sorted(state["best"]))
+        best = self.best_of(spark, state, sorted(state["best"]))
         if best is None:
             raise FileNotFoundError(f"no batch has reached {self.root}")
         if dates is not None:
@@ -247,7 +248,7 @@ class PanelStore:
 
     def _refresh(self, spark: SparkSession, touched: DataFrame, batch: int, state: dict, parts: Sequence[str]) -> dict:
         """Best of the stored best records and the new rows; other periods stay as they are."""
-        stored = self._best_of(spark, state, parts)
+        stored = self.best_of(spark, state, parts)
         if stored is not None:
             touched = stored.drop(BATCH).unionByName(touched, allowMissingColumns=True)
         best = by_period(best_records(touched, self.tie_breakers))

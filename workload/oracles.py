@@ -607,6 +607,7 @@ ORACLES |= {
         select case when old then 'weather_reanalysis' else 'weather_recent' end as product, case when old then 'era5' else 'ecmwf_ifs025' end as model,
           count(*) as site_days, count(*) as complete, cast(min(date_local) as varchar) as first_day, cast(max(date_local) as varchar) as last_day
         from best group by old""",
+    "settled_join": ORACLES["daily_outer_join"],
     "checked_write": f"select *, false as committed from ({ORACLES['contract_report']})",
     "coverage_from_states": ORACLES["coverage_by_year"],
     "explorer_indexed_pages": f"""with {DAILY},

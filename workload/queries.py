@@ -23,7 +23,7 @@ from tidepanel.operators import joins, records, select
 from tidepanel.operators import timeline as tl
 from tidepanel.operators.asof import as_of_join
 from tidepanel.operators.pages import index_pages
-from tidepanel.plans.panel import VIEWS, export_view, publish, view
+from tidepanel.plans.panel import VIEWS, daily_from_stores, export_view, publish, view
 from tidepanel.session import pin_utc, scratch_path
 from tidepanel.sinks.export import export
 from tidepanel.sources.bundle import Bundle, load_snapshot
@@ -31,6 +31,7 @@ from tidepanel.sources.revisions import commit_revision, read_revision, revision
 from tidepanel.sources.scans import read_manifest, read_product, read_records, read_registry, read_routed
 from tidepanel.specs import DAY, PANEL_KEY, RAW_KEY, SITE, SNAPSHOT, VINTAGE
 from tidepanel.streaming.ingest import PanelStore, ingest_domain, shard_stream, stream_into
+from tidepanel.streaming.settled import settle
 from workload import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,7 @@ EVENT_LIMIT = 10.0
 AS_OF = dt.date(2000, 1, 1)
 EVENT_START, EVENT_END = dt.date(2024, 1, 1), dt.date(2024, 1, 30)
 EXPLORED_SITES = (3, 7, 12, 18, 24)
+SETTLED_BUCKETS = 16
 COVER_START, COVER_END = dt.date(1995, 3, 15), dt.date(2001, 12, 31)
 
 
@@ -686,3 +688,17 @@ def stream_repeats(spark, sf_dir):
     refused = store.read_repeats(spark).agg(F.sum(F.col("copies") - F.col("accepted")).alias("refused"))
     accepted = store.read_raw(spark).agg(F.count(F.lit(1)).alias("accepted"))
     return spark.range(1).select(accepted.scalar().alias("accepted"), refused.scalar().alias("refused"))
+
+
+@registered
+def settled_join(spark, sf_dir):
+    """Daily table of two bucketed best-record tables and of what was delivered after them."""
+    root, stores = scratch_path(spark, "settled"), []
+    late = "month(date_local) = 6 and year(date_local) >= 1997"
+    for name, raw in (("weather", a.weather_raw(spark, sf_dir)), ("marine", a.marine_raw(spark, sf_dir))):
+        store = PanelStore(f"{root}/{name}", raw_key=(*RAW_KEY, "record_key"), tie_breakers=a.TIE)
+        store.absorb(raw.where(f"not ({late})"), 0)
+        settle(spark, store, SETTLED_BUCKETS)
+        store.absorb(raw.where(late), 1)
+        stores.append(store)
+    return daily_from_stores(*stores, a.nation_sites(spark, sf_dir), "driver", "2100-01-01").select(*DAILY_COLUMNS)
