@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from tidepanel.specs import PRODUCTS
 _ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 
-def _reader(spark: SparkSession, merge: bool) -> DataFrameReader:
+def shard_reader(spark: SparkSession, merge: bool = False) -> DataFrameReader:
     """Shards as one table: partition folders are ignored, other files left out."""
     return (
         spark.read.option("mergeSchema", str(merge).lower())
@@ -32,10 +33,10 @@ def _reader(spark: SparkSession, merge: bool) -> DataFrameReader:
     )
 
 
-def _shards(spark: SparkSession, *paths: str, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def read_shards(spark: SparkSession, *paths: str, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """All shards of a product, columns merged by name; ``each`` is applied to every scan."""
     try:
-        return each(_reader(spark, True).parquet(*paths))
+        return each(shard_reader(spark, True).parquet(*paths))
     except (PySparkException, Py4JJavaError) as error:
         if "CANNOT_MERGE_SCHEMAS" not in str(error):
             raise
@@ -55,29 +56,43 @@ def _schema_of(source: pa.NativeFile) -> str:
     return written.decode() if written else from_arrow_schema(schema).json()
 
 
+@contextmanager
+def footer_source(path: str, tail: bytes | None) -> Iterator[pa.NativeFile]:
+    """A file that a task opens by itself, or the end of one that Spark has read."""
+    if tail is not None:
+        yield pa.BufferReader(tail)
+        return
+    files, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    with files.open_input_file(name) as source:
+        yield source
+
+
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths, schemas = batch.column("path"), []
         for path, tail in zip(paths.to_pylist(), batch.column("tail").to_pylist()):
-            if tail is not None:
-                schemas.append(_schema_of(pa.BufferReader(tail)))
-                continue
             try:
-                files, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-                with files.open_input_file(name) as source:
+                with footer_source(path, tail) as source:
                     schemas.append(_schema_of(source))
             except (OSError, pa.ArrowException):
+                if tail is not None:
+                    raise
                 schemas.append(None)
         yield pa.RecordBatch.from_arrays([paths, pa.array(schemas, pa.string())], names=["path", "schema"])
 
 
+def with_tails(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Files with their ends, read by Spark."""
+    return spark.read.format("binaryFile").load([*paths]).select("path", _tail().alias("tail"))
+
+
 def schemas_of(spark: SparkSession, *paths: str) -> dict[str, list[str]]:
     """Files of each distinct schema (Spark's JSON) below some paths, their footers read in tasks.
 
     Two jobs at most, whatever the number of files: tasks open files themselves, and where they
     can't, since only Spark's readers know the store, Spark reads those files and hands over their ends.
     """
-    files = _reader(spark, False).format("binaryFile").load([*paths])
+    files = shard_reader(spark).format("binaryFile").load([*paths])
     shape = "path string, schema string"
     # Paths become rows; a file's bytes aren't read for them.
     listed = files.select("path", F.lit(None).cast("binary").alias("tail")).mapInArrow(_footers, shape)
@@ -85,7 +100,7 @@ def schemas_of(spark: SparkSession, *paths: str) -> dict[str, list[str]]:
     unread = [path for row in found if row["schema"] is None for path in row["paths"]]
     groups = {row["schema"]: row["paths"] for row in found if row["schema"] is not None}
     if unread:
-        ends = spark.read.format("binaryFile").load(unread).select("path", _tail().alias("tail")).mapInArrow(_footers, shape)
+        ends = with_tails(spark, unread).mapInArrow(_footers, shape)
         for row in ends.groupBy("schema").agg(F.collect_list("path").alias("paths")).collect():
             groups.setdefault(row["schema"], []).extend(row["paths"])
     return {schema: sorted(group) for schema, group in sorted(groups.items())}
@@ -97,7 +112,7 @@ def _shards_of_mixed_types(spark: SparkSession, *paths: str, each: Callable[[Dat
     Numbers meet as double and anything else as text, which the contract then reads.
     """
     groups = schemas_of(spark, *paths)
-    frames = [each(_reader(spark, False).schema(StructType.fromJson(json.loads(key))).parquet(*files)) for key, files in groups.items()]
+    frames = [each(shard_reader(spark).schema(StructType.fromJson(json.loads(key))).parquet(*files)) for key, files in groups.items()]
     kinds: dict[str, set[DataType]] = {}
     for df in frames:
         for field in df.schema:
@@ -114,7 +129,7 @@ def _shards_of_mixed_types(spark: SparkSession, *paths: str, each: Callable[[Dat
 def read_product(spark: SparkSession, root: str, product: str) -> DataFrame | None:
     """Every shard below ``root/data/<product>``; ``None`` when there is none."""
     try:
-        return _shards(spark, f"{root}/data/{product}")
+        return read_shards(spark, f"{root}/data/{product}")
     except AnalysisException as error:
         if error.getCondition() in _ABSENT:
             return None
@@ -126,14 +141,14 @@ def read_snapshot(spark: SparkSession, root: str, products: Iterable[str] = tupl
     return {name: df for name, df in found.items() if df is not None}
 
 
-def _folder(products: Iterable[str]) -> str:
+def product_folder(products: Iterable[str]) -> str:
     """Pattern of a product's folder in a path; other ``data`` folders above it do not match."""
     return f"data/({'|'.join(map(re.escape, products))})/"
 
 
 def route(paths: Iterable[str], products: Iterable[str] = tuple(PRODUCTS)) -> dict[str, list[str]]:
     """Manifest paths grouped by the product folder they lie in; other files are left out."""
-    shard = re.compile(rf"(?:^|/){_folder(products)}.*\.parquet$")
+    shard = re.compile(rf"(?:^|/){product_folder(products)}.*\.parquet$")
     groups: dict[str, list[str]] = {}
     for path in paths:
         if hit := shard.search(path):
@@ -147,19 +162,19 @@ def read_manifest(
     """Exactly the listed shards of one revision, whatever else the folders hold."""
     prefix = f"{root.rstrip('/')}/" if root else ""
     return {
-        name: _shards(spark, *[prefix + path for path in group])
+        name: read_shards(spark, *[prefix + path for path in group])
         for name, group in route(paths, products).items()
     }
 
 
 def product_of_file(df: DataFrame, products: Iterable[str] = tuple(PRODUCTS)) -> DataFrame:
     """Product name taken from each row's file path, for scans over several products."""
-    return df.withColumn("product", F.regexp_extract(F.col("_metadata.file_path"), f"/{_folder(products)}", 1))
+    return df.withColumn("product", F.regexp_extract(F.col("_metadata.file_path"), f"/{product_folder(products)}", 1))
 
 
 def read_routed(spark: SparkSession, root: str, products: Iterable[str] = tuple(PRODUCTS)) -> DataFrame:
     """Every shard of a snapshot in one frame, its product told by its folder."""
-    return _shards(spark, f"{root}/data", each=lambda df: product_of_file(df, products))
+    return read_shards(spark, f"{root}/data", each=lambda df: product_of_file(df, products))
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

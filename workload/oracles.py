@@ -607,6 +607,15 @@ ORACLES |= {
         select case when old then 'weather_reanalysis' else 'weather_recent' end as product, case when old then 'era5' else 'ecmwf_ifs025' end as model,
           count(*) as site_days, count(*) as complete, cast(min(date_local) as varchar) as first_day, cast(max(date_local) as varchar) as last_day
         from best group by old""",
+    "snapshot_figures": f"""with {BUNDLE},
+        each as (
+          select domain || '_' || kind as product, count(*) as raw_records, min(date_local) as a, max(date_local) as b,
+            max(date_local) filter (date_local < date '2000-01-01') as p from shards group by 1),
+        whole as (select sum(raw_records) as raw_records, min(a) as a, max(b) as b, max(p) as p from each)
+        select product, raw_records, cast(a as varchar) as first_day, cast(b as varchar) as last_day, cast(p as varchar) as latest_past_day,
+          cast(null as varchar) as explorer_start, cast(null as varchar) as export_start from each
+        union all select 'snapshot', cast(raw_records as bigint), cast(a as varchar), cast(b as varchar), cast(p as varchar),
+          cast(greatest(a, b - 29) as varchar), cast(greatest(a, b - 60) as varchar) from whole""",
     "settled_join": ORACLES["daily_outer_join"],
     "checked_write": f"select *, false as committed from ({ORACLES['contract_report']})",
     "coverage_from_states": ORACLES["coverage_by_year"],

@@ -27,6 +27,7 @@ from tidepanel.plans.panel import VIEWS, daily_from_stores, export_view, publish
 from tidepanel.session import pin_utc, scratch_path
 from tidepanel.sinks.export import export
 from tidepanel.sources.bundle import Bundle, load_snapshot
+from tidepanel.sources.footers import snapshot_bounds, snapshot_figures as figures_of
 from tidepanel.sources.revisions import commit_revision, read_revision, revision_files, revisions
 from tidepanel.sources.scans import read_manifest, read_product, read_records, read_registry, read_routed
 from tidepanel.specs import DAY, PANEL_KEY, RAW_KEY, SITE, SNAPSHOT, VINTAGE
@@ -619,6 +620,14 @@ def registry_csv(spark, sf_dir):
     return C.typed_registry(back).select(SITE, "name", "coastal_sector", F.round("lat_land", 6).alias("lat_land"), "lon_sea", report.alias("violations"))
 
 
+@registered
+def snapshot_figures(spark, sf_dir):
+    """Shards' rows and ranges of days by product and as a whole, out of their footers."""
+    figures = figures_of(spark, _written_snapshot(spark, sf_dir), AS_OF).drop("shards")
+    whole = snapshot_bounds(figures).withColumn("product", F.lit("snapshot"))
+    return whole.unionByName(figures, allowMissingColumns=True)
+
+
 # -- rules on the way, states, pages ------------------------------------------------------------
 
 
