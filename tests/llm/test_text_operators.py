@@ -74,6 +74,16 @@ def test_pii_awkward_matches(spark):
     assert {r.doc_id: r.base_sha256 for r in pii.findings(docs).collect()} == {i: sha(base_pii(t)) for i, t in enumerate(texts)}
 
 
+def test_pii_counts_of_each_kind(spark):
+    mail, ip, card, phone = "a@b.cd", "10.0.0.1", "4111111111111111", "+1 603 555 8791"
+    texts = [mail, ip, card, phone, f"{phone}, {card}, {ip}, {mail}, {phone}", f"{mail} {mail} {mail} 1.2.3.256", f"{card}; {ip}; {ip}; 123-45-6789, social security", "none", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {k: r[f"n_{k}"] for k in pii.BASE} for r in pii.findings(docs).collect()}
+    said = {i: collections.Counter(s.split(":")[0] for s in base_pii(t).split(",")) for i, t in enumerate(texts)}
+    assert got == {i: {k: said[i][k] for k in pii.BASE} for i in said}
+    assert got[4] == {"email": 1, "ip": 1, "card": 1, "phone": 2} and got[5]["email"] == 3
+
+
 def test_pii_em_finds_the_better_labeler():
     rows = [{"kind": "social", "strict": s, "known": s, "context": s if c else -1, "stands": t, "n": n} for s, c, t, n in [(1, 1, 1, 40), (1, 0, 0, 20), (0, 1, 1, 50), (0, 0, 0, 10), (1, 1, 0, 5), (0, 1, 0, 45)]]
     _, rates, chance = pii.reliabilities(rows)

@@ -222,5 +222,8 @@ def findings(documents: DataFrame) -> DataFrame:
     def said(chosen: Column) -> Column:
         return F.concat_ws(",", F.transform(chosen, lambda s: s["said"]))
 
-    counts = [F.size(F.filter("all", lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    def number(i: int) -> Column:  # a second parameter of the lambda would be the place in the array
+        return F.size(F.filter("_base", lambda s: s["order"] == i)).cast("long")
+
+    counts = [number(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
     return rows.select("doc_id", *counts, F.sha2(said(F.col("_base")), 256).alias("base_sha256"), said(F.col("all")).alias("spans"))
