@@ -80,6 +80,26 @@ def test_every_page_and_token_takes_part(spark):
     assert all(got[1000 + i] == " ".join([f"lead {i}"] * 300) + "\n" + " ".join([f"late {i}"] * 400) for i in range(3))
 
 
+def test_texts_of_unlike_pages_are_aligned(spark):
+    """A large unnamed container with fixed texts of which some pages lack one is no article, however its pages follow each other."""
+    parts = [f"<p>Terms part {k} {'and so on ' * (9 + k)}</p><div class=s{k}>x{k}</div>" for k in range(3)]
+
+    def page(i):
+        fixed = parts if i % 2 else parts[1:]
+        return f"<body><div id=u>{''.join(fixed)}</div><div id=v><p>{f'words of {i} ' * 12}</p></div></body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in html_wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: (f"words of {i} " * 12).strip() for i in range(8)}
+
+
+def test_alignment_tells_optional_texts_from_slots():
+    assert html_wrappers.aligned(["=a", "=b", "=c"], ["=b", "=c"]) == ["?=a", "=b", "=c"]
+    assert html_wrappers.container_wrapper(['["=b", "=c"]', '["=a", "=b", "=c"]', '["=a", "=b"]']) == '["?=a", "=b", "?=c"]'
+    assert html_wrappers.container_wrapper(['["=b", "=c"]', '["=a", "=b", "=d"]']) == "#"
+    assert not html_wrappers.is_slot("body/div x", '["?=a", "=b"]') and html_wrappers.is_slot("body/article", '["?=a", "=b"]')
+
+
 def test_folded_and_aligned():
     assert html_wrappers.folded(["<a", "=x", "<a", "=y", "<b", "=z"]) == ["+<a", "+=x", "<b", "=z"]
     assert html_wrappers.aligned(["<a", "=x", "<b"], ["<a", "=y", "<c", "<b"]) == ["<a", "#", "?<c", "<b"]

@@ -3,10 +3,11 @@
 A page is a stream of tags and texts.  Tandem repeats are folded into repeated groups; pages of one host whose
 containers then follow each other in the same way are one template.  The pages of a template are aligned into a wrapper,
 a regular expression without unions, where texts that differ become slots.  The wrappers of a host's templates are
-aligned by their containers: one that only some pages hold is optional.  So the wrappers tell for every container whether its
+aligned container by container: a container that only some pages hold is optional, and so is a text in it that the others
+lack; texts that stand in for each other are slots.  So the wrappers tell for every container whether its
 text is fixed, optional or free, and which containers hold the article of the host's pages; tags and names only weigh in.
 All pages of a host and all their tokens take part: every task folds its pages into one partial wrapper for each template, and
-these are merged, in two rounds.
+these are merged, in two rounds, as are a container's texts in the templates.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -163,16 +164,34 @@ def folded(symbols: list[str]) -> list[str]:
 
 
 def aligned(wrapper: list[str], page: list[str]) -> list[str]:
-    """The wrapper that matches what it matched and ``page``: differing texts become slots ('#'), one-sided parts optional ('?')."""
+    """The wrapper that matches what it matched and ``page``: differing texts become slots ('#'), one-sided parts optional ('?').
+
+    What differs in form is aligned by equal texts first, then between them by form alone.
+    """
 
     def bare(s: str) -> str:
         s = s.lstrip("?+")
         return "#" if s[0] in "=#" else s
 
+    def steps(i: int, j: int, k: int, m: int, texts: bool) -> Iterator[tuple[str, int, int, int, int]]:
+        if a[i:j] == b[k:m]:
+            yield "equal", i, j, k, m
+            return
+        if not texts and {*a[i:j], *b[k:m]} == {"#"}:  # one after the other, without a search of all pairs
+            n = min(j - i, m - k)
+            yield "equal", i, i + n, k, k + n
+            yield "insert", i + n, j, k + n, m
+            return
+        x, y = ([s.lstrip("?+") for s in wrapper[i:j]], [s.lstrip("?+") for s in page[k:m]]) if texts else (a[i:j], b[k:m])
+        for op, p, q, u, v in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            if texts and op == "replace":
+                yield from steps(i + p, i + q, k + u, k + v, False)
+            else:
+                yield op, i + p, i + q, k + u, k + v
+
     out: list[str] = []
     a, b = [bare(s) for s in wrapper], [bare(s) for s in page]
-    steps = [("equal", 0, len(a), 0, len(b))] if a == b else SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-    for op, i, j, k, m in steps:
+    for op, i, j, k, m in steps(0, len(a), 0, len(b), True):
         if op == "equal":
             for x, y in zip(wrapper[i:j], page[k:m], strict=True):
                 marks = ("?" if "?" in x[: len(x) - len(x.lstrip("?+"))] else "") + ("+" if "+" in (x[0], y[0]) or x[:2] == "?+" else "")
@@ -245,7 +264,7 @@ def merged(one: dict, other: dict) -> dict:
 
 
 def places_of(found: dict) -> Iterator[tuple[str, int, int, str]]:
-    """(container, pages, letters, digest of its texts or '#' if one of them is a slot) of a wrapper."""
+    """(container, pages, letters, its texts as JSON or '#' if one of them is a slot) of a wrapper."""
     texts: dict[str, list[str]] = {}
     at = ""
     for symbol in found["symbols"]:
@@ -253,9 +272,30 @@ def places_of(found: dict) -> Iterator[tuple[str, int, int, str]]:
         if s[0] == "<":
             at = s[1:]
         else:
-            texts.setdefault(at, []).append(s)
+            texts.setdefault(at, []).append(symbol if s[0] == "=" else s)
     for at, t in texts.items():
-        yield at, found["pages"], found["letters"][at], "#" if "#" in t else digest("\n".join(t))
+        yield at, found["pages"], found["letters"][at], "#" if "#" in t else json.dumps(t)
+
+
+def container_wrapper(met: Iterable[str]) -> str:
+    """The wrapper of what templates hold in one container (``places_of``): '#' as soon as a text is a slot, else texts, some optional.
+
+    Longer ones come first, so that the order of the rows doesn't matter.
+    """
+    whole: list[str] | None = None
+    for texts in sorted(met, key=lambda t: (t != "#", -len(t), t)):
+        if texts == "#":
+            return "#"
+        one = json.loads(texts)
+        whole = one if whole is None else aligned(whole, one)
+        if any(s.lstrip("?+") == "#" for s in whole):
+            return "#"
+    return json.dumps(whole)
+
+
+def is_slot(at: str, texts: str) -> bool:
+    """Whether a container's text is free: a slot, or where the tags say article a text that only some pages have."""
+    return texts == "#" or (any("?" in s[: len(s) - len(s.lstrip("?+"))] for s in json.loads(texts)) and judged(tuple(at.split("/"))) == "main")
 
 
 def wrapper_of(pages: list[str]) -> dict[str, str]:
@@ -346,21 +386,28 @@ def extracted(pages: DataFrame) -> DataFrame:
             whole = found if whole is None else merged(whole, found)
         return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [group["template"].iloc[0]], "found": [json.dumps(whole)]})
 
+    def container_of(group: pd.DataFrame) -> pd.DataFrame:
+        host, at = group["host"].iloc[0], group["at"].iloc[0]
+        return pd.DataFrame({"host": [host], "at": [at], "pages": [group["pages"].sum()], "letters": [group["letters"].sum()], "texts": [container_wrapper(group["texts"])]})
+
     def chosen(group: pd.DataFrame) -> pd.DataFrame:
-        found = {at: (n, letters, slot) for at, n, letters, slot in zip(group["at"], group["pages"], group["letters"], group["slot"], strict=True)}
+        found = {at: (n, letters, slot) for at, n, letters, slot in zip(group["at"], group["pages"], group["letters"], map(is_slot, group["at"], group["texts"]), strict=True)}
         return pd.DataFrame({"of": [group["host"].iloc[0]], "shape": [group["template"].iloc[0]], "wrapper": [json.dumps(decided(found))]})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for host, template, found in batch.itertuples(index=False):
-                yield pd.DataFrame([(host, template, *place) for place in places_of(json.loads(found))], columns=["host", "template", "at", "pages", "letters", "print"])
+                yield pd.DataFrame([(host, template, *place) for place in places_of(json.loads(found))], columns=["host", "template", "at", "pages", "letters", "texts"])
 
     fields = "host string, template string, found string"
     parts = kept(rows.select("host", "html").mapInPandas(partials, fields), "partial-wrappers")
     few = parts.withColumn("turn", F.pmod(F.xxhash64("found"), F.lit(MERGES))).groupBy("host", "template", "turn").applyInPandas(together, fields)
     templates = kept(few.groupBy("host", "template").applyInPandas(together, fields), "templates")
-    places = templates.mapInPandas(spread, "host string, template string, at string, pages long, letters long, print string")
-    whole = places.groupBy("host", "at").agg(F.sum("pages").alias("pages"), F.sum("letters").alias("letters"), ((F.min("print") != F.max("print")) | (F.min("print") == "#")).alias("slot"))
+    places = templates.mapInPandas(spread, "host string, template string, at string, pages long, letters long, texts string")
+    held = "host string, at string, pages long, letters long, texts string"
+    apart = places.groupBy("host", "at", "texts").agg(F.sum("pages").alias("pages"), F.sum("letters").alias("letters"))
+    some = apart.withColumn("turn", F.pmod(F.xxhash64("texts"), F.lit(MERGES))).groupBy("host", "at", "turn").applyInPandas(container_of, held)
+    whole = some.groupBy("host", "at").applyInPandas(container_of, held)
     known = places.select("host", "template", "at").join(whole, ["host", "at"])
     wrappers = kept(known.groupBy("host", "template").applyInPandas(chosen, "of string, shape string, wrapper string"), "wrappers")
     if wrappers.count() <= BROADCAST_TEMPLATES:
