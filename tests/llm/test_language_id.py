@@ -102,3 +102,24 @@ def test_bounded_model(spark, little, monkeypatch):
     monkeypatch.setattr(language_id, "LOCAL", 5)
     got = language_id.predicted(little, language_id.train(little)).join(little.select("doc_id", "lang"), "doc_id")
     assert got.where("lang_pred = lang").count() > 0.9 * 240
+
+
+def test_entries_beyond_the_bound_count(spark, little, monkeypatch):
+    odd = [(None, "ba bo", "xx"), (900, None, "xx"), (901, "123", "yy"), (902, "ba ti ша " * 500, None), (902, "ba ti ша " * 500, None), (903, "quite other letters", None)]
+    frame = little.unionByName(spark.createDataFrame(odd, little.schema))
+
+    def found():
+        rows = language_id.predicted(frame, language_id.train(frame)).collect()
+        return sorted((r.doc_id or -1, r.lang_pred, r.accepted, round(r.score, 9), round(r.cross_entropy, 9)) for r in rows)
+
+    whole = found()
+    for bound, bits in ((12, 26), (3, 15)):
+        monkeypatch.setattr(language_id, "MODEL_GRAMS", bound)
+        monkeypatch.setattr(language_id, "BITMAP", bits)
+        assert found() == whole
+
+
+def test_bitmap_marks_what_was_left_out(spark):
+    keys = np.arange(1, 5000, dtype=np.uint64) << np.uint64(40) | np.uint64(1 << 63)
+    bitmap = language_id._bitmap(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "gram long"), 20)
+    assert language_id._marked(bitmap, keys).all() and language_id._marked(bitmap, keys + np.uint64(1)).mean() < 0.02
